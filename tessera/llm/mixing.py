@@ -4,7 +4,8 @@ Every unit (a document) should be taken ``target / source size`` times. The whol
 probability. Pivotal rounding pairs two units of a source and moves mass (probability times size) between them at random,
 without changing either's expectation, until one of them is 0 or 1. Blocks of about BLOCK units of a source fold to one
 open unit each, blocks of open units fold again, and so on: a reduction tree whose last unit is drawn by itself. A
-source's taken mass therefore misses its target by less than one unit.
+source's taken mass therefore misses its target by less than one unit. A fold goes from large units to small ones, for a
+large one that is open to the end would miss by more.
 """
 
 from __future__ import annotations
@@ -65,7 +66,7 @@ def _fold(units: DataFrame, seed: int, level: int) -> DataFrame:
         else case when m.a.p * m.a.size <= (1D - m.b.p) * m.b.size
              then named_struct('open', named_struct('key', m.b.key, 'p', m.b.p + m.down / m.b.size, 'size', m.b.size), 'done', concat(s.done, array(named_struct('key', m.a.key, 'p', 0D))))
              else named_struct('open', named_struct('key', m.a.key, 'p', m.a.p - m.down / m.a.size, 'size', m.a.size), 'done', concat(s.done, array(named_struct('key', m.b.key, 'p', 1D)))) end end), 1)), 1) end"""
-    lists = units.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed), "key").alias("h"), "key", "p", "size"))).alias("u"))
+    lists = units.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("s"), F.xxhash64(F.lit(seed), "key").alias("h"), "key", "p", "size"))).alias("u"))
     plain = "transform(u, x -> named_struct('key', x.key, 'p', x.p, 'size', x.size))"
     return lists.select("source", "block", F.expr(f"aggregate({plain}, {state}, (s, b) -> {step})").alias("f")).select("source", "block", "f.open", "f.done")
 
@@ -79,7 +80,6 @@ def pivotal(units: DataFrame, seed: int = 0) -> DataFrame:
     counts = units.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     blocked = units.join(saved(counts), units["source"].eqNullSafe(counts["source"])).select(units["source"], "key", "p", "size", F.col("n").alias("all"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("all") / BLOCK)).cast("long")
-    # near sizes share a block, so that little mass moves: blocks are cut by size class first, by hash within it
     now = blocked.select("source", F.pmod(F.xxhash64(F.lit(seed), F.lit(0), "key"), blocks).alias("block"), "key", "p", "size", blocks.alias("blocks"))
     most = counts.agg(F.max("n")).first()[0] or 0
     done, level = None, 0
