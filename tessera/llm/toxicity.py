@@ -79,6 +79,11 @@ def _masks(codes: np.ndarray) -> np.ndarray:
 
 def kernel(units: list[str], landmarks: list[str]) -> np.ndarray:
     """The kernel of each unit and landmark; 0 where too few letters are shared."""
+    step = 16384
+    return np.concatenate([_kernel(units[i : i + step], landmarks) for i in range(0, max(1, len(units)), step)])
+
+
+def _kernel(units: list[str], landmarks: list[str]) -> np.ndarray:
     ca, _ = _codes(units, LONGEST)
     cb, size = _codes(landmarks, max(map(len, landmarks)))
     ma, mb = _masks(ca), _masks(cb)
@@ -189,17 +194,23 @@ def fit(rows: list[tuple[str, int]], n_toxic: int = 40, n_plain: int = 8, rounds
     keep = value > 1e-4
     white = vector[:, keep] / np.sqrt(value[keep])
     units = sorted({u for b, _ in bags for s in b for u in s})
-    index = {u: i for i, u in enumerate(units)}
     values = kernel(units, landmarks)
-    features = values @ white
-    margin = np.array([max(told.get(u, 0.0), 0.0) for u in units])  # the first choice: the unit that the labels tell most about
-    clean = np.array(sorted({index[u] for b, y in bags if y == 0 for s in b for u in s}))
-    spread = np.array([float(seen[0][u]) for u in units])
+    some = np.flatnonzero(values.any(1))  # units that share too little with every landmark are one unit, the first
+    features = np.vstack([np.zeros((1, white.shape[1]), np.float32), values[some] @ white.astype(np.float32)])
+    place = np.zeros(len(units), np.int64)
+    place[some] = 1 + np.arange(len(some))
+    index = dict(zip(units, place.tolist(), strict=True))
+    margin, spread = np.zeros(len(features)), np.zeros(len(features))
+    for u, i in index.items():
+        margin[i] = max(margin[i], told.get(u, 0.0)) if i else 0.0  # the first choice: the unit that the labels tell most about
+        spread[i] += seen[0][u]
+    del values
+    clean = np.flatnonzero(spread > 0)
     w = np.zeros(features.shape[1] + 1)
     for _ in range(rounds):
         chosen = np.array([max((index[u] for s in b for u in s), key=lambda i: (margin[i], -i)) for b, y in bags if y == 1 and b])
         hard = clean[np.argsort(-margin[clean], kind="stable")[:10000]]
-        x = np.vstack([features[chosen], features[hard]])
+        x = np.vstack([features[chosen], features[hard]]).astype(np.float64)
         y = np.concatenate([np.ones(len(chosen)), -np.ones(len(hard))])
         weight = np.concatenate([np.ones(len(chosen)), spread[hard]])  # a unit of clean texts counts once for each of them
         w = _machine(x, y, weight)
@@ -222,7 +233,7 @@ def fit(rows: list[tuple[str, int]], n_toxic: int = 40, n_plain: int = 8, rounds
     return Model(landmarks, (white @ w[:-1]).astype(np.float32), float(w[-1]), tuple(curve))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 3000, longest: int = 6000, held_out: int | None = 5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 2400, longest: int = 6000, held_out: int | None = 5) -> Model:
     """Fit on a bounded sample of labelled rows: at most ``most_rows`` in all, half of each label as far as there are any.
 
     Rows of texts over ``longest`` characters aren't drawn, nor those whose crc32(id) mod ``held_out`` is 0. The draw is by
