@@ -1,4 +1,34 @@
-"""All registered queries and the SQL that says the same."""
+"""All registered queries and the SQL that says the same.
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+A query is one function from a dialect to SQL over {table} names. Spark runs it with the Parquet tables put in; DuckDB gets
+its own spelling of it over the same names.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import cleaning, collisions, ledgers, relational, shards, study
+from .dialect import Duck, Spark
+from .python_queries import PYTHON_QUERIES
+
+TABLE = re.compile(r"\{(region|nation|customer|supplier|part|orders|lineitem|events|documents|embeddings|pages|benchmark|labels|conversations)\}")
+
+
+def spark_query(text: Callable[[Spark], str]) -> Callable[[SparkSession, str], DataFrame]:
+    sql = text(Spark())
+    names = sorted(set(TABLE.findall(sql)))
+    sql = "".join(f"{{{x}}}" if i % 2 else x.replace("{", "{{").replace("}", "}}") for i, x in enumerate(TABLE.split(sql)))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
+
+    return run
+
+
+TEXTS = {name: f for module in (cleaning, shards, collisions, study, ledgers, relational) for name, f in module.QUERIES.items()}
+QUERIES = {name: spark_query(f) for name, f in TEXTS.items()} | PYTHON_QUERIES
+SQL = {name: TABLE.sub(r"\1", f(Duck())) for name, f in TEXTS.items()}
