@@ -11,10 +11,12 @@ number of units gives the score.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import map_batches, whole, words
+from .common import map_batches, prepare, whole, words
 
 ORDER, DECAY, LONGEST = 3, 0.7, 24
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -237,18 +239,22 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 2400, longest: in
     """Fit on a bounded sample of labelled rows: at most ``most_rows`` in all, half of each label as far as there are any.
 
     Rows of texts over ``longest`` characters aren't drawn, nor those whose crc32(id) mod ``held_out`` is 0. The draw is by
-    hash of the id. The bound makes the driver's share of the work the same at every size.
+    hash of the id. One task fits the model; the bound makes its work the same at every size.
     """
-    from functools import reduce
-
     plain = labels.where("toxic in (0, 1)").selectExpr("cast(doc_id as long) as doc_id", "cast(toxic as int) as toxic")
     if held_out:
         plain = plain.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % held_out != 0)
     few = plain.withColumn("h", F.xxhash64("doc_id"))
     pool = docs.selectExpr("cast(doc_id as long) as doc_id", "text").where(f"length(text) <= {longest}")
     parts = [pool.join(few.where(f"toxic = {y}").drop("toxic"), "doc_id").orderBy("h", "doc_id").limit(most_rows // 2).selectExpr("text", f"{y} as toxic", "h", "doc_id") for y in (0, 1)]
-    rows = reduce(DataFrame.union, parts).collect()
-    return fit([(r["text"], r["toxic"]) for r in sorted(rows, key=lambda r: (r["toxic"], r["h"], r["doc_id"], r["text"]))])
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: (r["toxic"], r["h"], r["doc_id"], r["text"]))
+        return pa.table({"model": pa.array([pickle.dumps(fit([(r["text"], r["toxic"]) for r in rows]))], pa.binary())})
+
+    prepare(docs.sparkSession)
+    made = reduce(DataFrame.union, parts).groupBy(F.lit(1)).applyInArrow(run, "model binary").first()  # one task, of a bounded sample
+    return pickle.loads(made["model"]) if made else fit([])
 
 
 def score_texts(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
