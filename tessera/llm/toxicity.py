@@ -253,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 2400, longest: in
         return pa.table({"model": pa.array([pickle.dumps(fit([(r["text"], r["toxic"]) for r in rows]))], pa.binary())})
 
     prepare(docs.sparkSession)
-    made = reduce(DataFrame.union, parts).groupBy(F.lit(1)).applyInArrow(run, "model binary").first()  # one task, of a bounded sample
+    made = reduce(DataFrame.union, parts).withColumn("one", F.lit(1)).groupBy("one").applyInArrow(run, "model binary").first()  # one task, of a bounded sample
     return pickle.loads(made["model"]) if made else fit([])
 
 
