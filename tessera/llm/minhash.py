@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_batches, mix64, ragged, saved, whole, words
+from .common import components, map_batches, mix64, ragged, saved, tidy, whole, words
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
-EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(57)) if BINS == 128 else None
+EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
 _MASK = (1 << 64) - 1
 
 
@@ -155,11 +155,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         asked = pool.where("node <> hub").select("node", "hub").distinct()
         a, b = (sets.select(F.col("digest").alias(n), F.col("shingles").alias(s)) for n, s in (("node", "a"), ("hub", "b")))
         near = F.least(F.size("a"), F.size("b")).cast("long") * 100 >= percent * F.greatest(F.size("a"), F.size("b")).cast("long")
-        met = asked.join(a, "node").join(b, "hub").where(near).select("node", "hub", F.size(F.array_intersect("a", "b")).cast("long").alias("both"), (F.size("a") + F.size("b")).cast("long").alias("sum"))
+        met = asked.join(a.hint("merge"), "node").join(b.hint("merge"), "hub").where(near).select("node", "hub", F.size(F.array_intersect("a", "b")).cast("long").alias("both"), (F.size("a") + F.size("b")).cast("long").alias("sum"))
         found = saved(met.where(f"100 * both >= {percent} * (sum - both)").select("node", "hub"))
         known = found if known is None else known.union(found)
-        failed = pool.where("node <> hub").join(found, ["node", "hub"], "left_anti").select("key", "node")
-        pool = saved(failed.join(_hubs(failed), "key"))
+        failed = pool.where("node <> hub").join(found.hint("merge"), ["node", "hub"], "left_anti").select("key", "node")
+        pool = saved(failed.join(_hubs(failed).hint("merge"), "key"))
+        tidy(docs.sparkSession)
         if pool.isEmpty():
             break
     joined = components(known.select(F.col("node").alias("a"), F.col("hub").alias("b")))
