@@ -32,7 +32,9 @@ def prepare(spark: SparkSession) -> None:
 def saved(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder."""
     prepare(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    tidy(df.sparkSession)
+    return out
 
 
 def tidy(spark: SparkSession) -> None:
@@ -117,7 +119,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         near = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(near.hint("merge"), "a")
         now = saved(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(near.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        tidy(edges.sparkSession)
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:
             break
