@@ -13,7 +13,7 @@ def ledger_contiguity(e) -> str:
 
 
 def replay_state(e) -> str:
-    return f"select lane, cast(branch % 4 as bigint) as stage, cast(sum(tokens) as bigint) as tokens, cast(max(step) + 1 as bigint) as next_step from ({_steps(e)}) s group by grouping sets ((lane), (lane, branch % 4))"
+    return f"select lane, cast(coalesce(branch % 4, -1) as bigint) as stage, cast(sum(tokens) as bigint) as tokens, cast(max(step) + 1 as bigint) as next_step from ({_steps(e)}) s group by grouping sets ((lane), (lane, branch % 4))"
 
 
 def cumulative_floor(e) -> str:
