@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -30,7 +31,21 @@ def prepare(spark: SparkSession) -> None:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared checkpoint folder."""
+    """``df`` computed once, written as a table in the shared checkpoint folder and read from there.
+
+    A checkpoint computes its last stage twice, once to count and once to write; a table is written as it is computed. Its
+    size is known to what reads it.
+    """
+    spark = df.sparkSession
+    prepare(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    tidy(spark)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint, for rows with columns of any name and kind, which a table may not take."""
     prepare(df.sparkSession)
     out = df.checkpoint()
     tidy(df.sparkSession)
@@ -90,7 +105,7 @@ def numbered(df: DataFrame, group: Sequence[str], name: str) -> DataFrame:
     checkpointed copy, and offsets come from a table with one row for each group and partition.
     """
     part, base, row = f"{name}__part", f"{name}__base", f"{name}__row"
-    kept = saved(df.withColumns({part: F.spark_partition_id(), row: F.monotonically_increasing_id()}))
+    kept = held(df.withColumns({part: F.spark_partition_id(), row: F.monotonically_increasing_id()}))
     keys = [*group, part]
     sums = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     offsets = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.coalesce(F.sum("n").over(sums), F.lit(0)).alias(base))

@@ -77,8 +77,8 @@ def pivotal(units: DataFrame, seed: int = 0) -> DataFrame:
     Each unit is taken with probability p, and a source's sum of size * taken misses its sum of size * p by less than
     its largest size. Equal input gives equal results, however it is partitioned.
     """
-    counts = units.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    blocked = units.join(saved(counts), units["source"].eqNullSafe(counts["source"])).select(units["source"], "key", "p", "size", F.col("n").alias("all"))
+    counts = saved(units.groupBy(F.col("source").alias("of")).agg(F.count(F.lit(1)).alias("n")))
+    blocked = units.join(counts, F.col("source").eqNullSafe(F.col("of"))).select("source", "key", "p", "size", F.col("n").alias("all"))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("all") / BLOCK)).cast("long")
     now = blocked.select("source", F.pmod(F.xxhash64(F.lit(seed), F.lit(0), "key"), blocks).alias("block"), "key", "p", "size", blocks.alias("blocks"))
     most = counts.agg(F.max("n")).first()[0] or 0
