@@ -31,25 +31,27 @@ class Tree:
     children: list[Tree]
 
 
-def build(points: np.ndarray, members: np.ndarray, centre: int, level: float) -> Tree:
-    """The tree over ``members`` with ``centre`` at radius ``level``; each child level has half the radius."""
-    distance = np.sqrt(((points[members] - points[centre]) ** 2).sum(1))
-    node = Tree(centre, float(distance.max(initial=0.0)), members, [])
+def build(apart: np.ndarray, members: np.ndarray, centre: int, level: float) -> Tree:
+    """The tree over ``members`` with ``centre`` at radius ``level``; each child level has half the radius. ``apart``: all distances."""
+    node = Tree(centre, float(apart[centre, members].max(initial=0.0)), members, [])
     if len(members) <= LEAF or node.radius == 0:
         return node
     while level / 2 >= node.radius:
         level /= 2
     half, rest, at = level / 2, members, centre
     while len(rest):  # the parent's centre is the first child's; then the first member that none covers
-        near = np.sqrt(((points[rest] - points[at]) ** 2).sum(1)) <= half
-        node.children.append(build(points, rest[near], at, half))
+        near = apart[at, rest] <= half
+        node.children.append(build(apart, rest[near], at, half))
         rest = rest[~near]
         at = int(rest[0]) if len(rest) else -1
     return node
 
 
 def tree_of(points: np.ndarray) -> Tree:
-    return build(points, np.arange(len(points)), 0, 2.0)
+    """The tree of a block of unit vectors. Their distances are one matrix product: a block's size is bounded."""
+    apart = np.sqrt(np.maximum(2 - 2 * points @ points.T, 0))
+    np.fill_diagonal(apart, 0)
+    return build(apart, np.arange(len(points)), 0, 2.0)
 
 
 def dual(a: Tree, b: Tree, x: np.ndarray, y: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
