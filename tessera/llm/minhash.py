@@ -3,9 +3,9 @@
 A document's set holds the hashes of its distinct word shingles. The set's permuted hashes fall into BINS equal ranges and
 the least of each range is its sketch; an empty range borrows from the first non-empty range of a probe sequence that
 depends only on (range, attempt), so borrowed values collide with the sets' similarity. Four ranges make a band, equal
-bands share a bucket, and a bucket links its members to one hub only. Members that the hub doesn't confirm go on to the
-next round among themselves, until each bucket is used up: pairs never multiply, and nothing is capped. Links are
-confirmed on whole sets.
+bands share a bucket, and a bucket's candidates are stars: its members with a few hubs. Members that no hub rules out or
+links go on to the next turn, until each bucket is used up or of one component; nothing is capped. Links are confirmed on
+whole sets.
 """
 
 from __future__ import annotations
@@ -128,10 +128,54 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return map_batches(docs.select("text"), run, "digest binary, shingles array<long>")
 
 
-def _hubs(members: DataFrame) -> DataFrame:
-    """For each bucket of (key, node) with two members or more, one of them, drawn by hash."""
-    least = F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node"))["node"].alias("hub")
-    return saved(members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), least).where("n > 1").select("key", "hub"))
+def _hubs(members: DataFrame, slots: int) -> DataFrame:
+    """Of each bucket of (key, node, label), as many members as ``slots`` at most, drawn by hash: (key, hub, hub_label)."""
+    slot = F.pmod(F.xxhash64(F.lit(slots), "key", "node"), F.lit(slots)).alias("slot")
+    least = F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node", "label")).alias("of")
+    return saved(members.groupBy("key", slot).agg(least).select("key", F.col("of.node").alias("hub"), F.col("of.label").alias("hub_label")))
+
+
+def _crowded(members: DataFrame) -> DataFrame:
+    """Members (key, node, label) of buckets that hold two labels or more."""
+    keys = saved(members.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("key"))
+    return saved(members.join(keys.hint("merge"), "key"))
+
+
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` with the components of ``links`` as labels."""
+    joined = saved(components(links).withColumnRenamed("id", "node"))
+    return saved(members.select("key", "node").join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")))
+
+
+def _links(pool: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that give the components of all links between members of a bucket.
+
+    Each turn compares members with the hubs of their bucket, one at first, then four times as many; hubs then leave it.
+    Jaccard distance obeys the triangle inequality: what a hub links with can only link with members within twice the
+    threshold of that hub. So it leaves the bucket with its hub, unless such members are there that the hub doesn't link
+    with. Members known to be of one component are not compared, and a bucket of one component is done.
+    """
+    ring = max(0, 2 * percent - 100)
+    known, slots = None, 1
+    while True:
+        hubs = _hubs(pool, slots)
+        met = saved(pool.join(hubs.hint("merge"), "key").where("node <> hub and label <> hub_label").select("key", "node", "hub", F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")))
+        x, y = (sets.select(F.col("digest").alias(n), F.col("shingles").alias(v)) for n, v in (("a", "x"), ("b", "y")))
+        close = F.least(F.size("x"), F.size("y")).cast("long") * 100 >= ring * F.greatest(F.size("x"), F.size("y")).cast("long")
+        pairs = met.select("a", "b").distinct().join(x.hint("merge"), "a").join(y.hint("merge"), "b").where(close)
+        sized = pairs.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("both"), (F.size("x") + F.size("y")).cast("long").alias("sum"))
+        judged = saved(sized.where(f"100 * both >= {ring} * (sum - both)").selectExpr("a", "b", f"100 * both >= {percent} * (sum - both) as linked"))
+        found = judged.where("linked").select("a", "b")
+        known = found if known is None else known.union(found)
+        told = saved(met.join(judged.hint("merge"), ["a", "b"]).select("key", "node", "hub", "linked"))
+        ringed = saved(told.where("not linked").select("key", "hub").distinct())
+        inner = told.where("linked").join(ringed.hint("merge"), ["key", "hub"], "left_anti").select("key", "node")
+        gone = inner.union(hubs.select("key", F.col("hub").alias("node")))
+        rest = saved(pool.join(gone.hint("merge"), ["key", "node"], "left_anti"))
+        pool = _crowded(_labelled(rest, known) if slots == 1 else rest)
+        if pool.isEmpty():
+            return known
+        slots *= 4
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -147,22 +191,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     classes = saved(signed.where("digest is not null").groupBy(F.col("digest").alias("node")).agg(least.alias("of"), F.min("bands").alias("bands")))
     buckets = classes.select("node", F.explode("bands").alias("key"))
-    pool = saved(buckets.join(_hubs(buckets), "key"))
+    pool = _crowded(buckets.withColumn("label", F.col("node")))
     wanted = pool.select("node").distinct().join(classes, "node").select("of.row")
     sets = saved(shingle_sets(docs.join(wanted, "row", "left_semi"), words_per_shingle).groupBy("digest").agg(F.first("shingles").alias("shingles")))
-    known = None
-    while True:
-        asked = pool.where("node <> hub").select("node", "hub").distinct()
-        a, b = (sets.select(F.col("digest").alias(n), F.col("shingles").alias(s)) for n, s in (("node", "a"), ("hub", "b")))
-        near = F.least(F.size("a"), F.size("b")).cast("long") * 100 >= percent * F.greatest(F.size("a"), F.size("b")).cast("long")
-        met = asked.join(a.hint("merge"), "node").join(b.hint("merge"), "hub").where(near).select("node", "hub", F.size(F.array_intersect("a", "b")).cast("long").alias("both"), (F.size("a") + F.size("b")).cast("long").alias("sum"))
-        found = saved(met.where(f"100 * both >= {percent} * (sum - both)").select("node", "hub"))
-        known = found if known is None else known.union(found)
-        failed = pool.where("node <> hub").join(found.hint("merge"), ["node", "hub"], "left_anti").select("key", "node")
-        pool = saved(failed.join(_hubs(failed).hint("merge"), "key"))
-        if pool.isEmpty():
-            break
-    joined = components(known.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    joined = components(_links(pool, sets, percent))
     tops = classes.select("node", "of.id").join(joined.withColumnRenamed("id", "node"), "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
     best = tops.groupBy("component").agg(F.min("id").alias("component_id"))
     owner = saved(tops.join(saved(best), "component").select(F.col("node").alias("digest"), "component_id"))
