@@ -1,10 +1,12 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text, cut by quantiles of each language.
 
-Words are folded to 256 symbols: the commonest words of trusted text and word shapes (case, length, digits, punctuation, a
-repeat of the word before). Trigram counts of all trusted text are summed per task, then in shards by trigram; continuation
-counts and discounts follow by grouping, and the orders are joined shard by shard into log probabilities. The model can't
-outgrow 256^3 entries, which bounds what is sent to the tasks. A document's perplexity is held against a quantile of the
+``classify`` and the query count real words by ``word_ngrams``. A document's perplexity is held against a quantile of the
 perplexities of held-out trusted text in its language.
+
+The folded model, from ``core`` to ``perplexities``, is no longer used by the query; a test holds it. There words are folded to 256 symbols: the commonest words of trusted text and word shapes (case, length, digits, punctuation, a
+repeat of the word before). Trigram counts of all trusted text are summed per task, then in shards by trigram; continuation
+counts and discounts follow by grouping, and the orders are joined shard by shard into log probabilities. It can't
+outgrow 256^3 entries.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+from . import word_ngrams
 from .common import map_batches, saved, whole, words
 
 SYMBOLS = 256
@@ -198,12 +201,12 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, held_o
     language (null is one of its own), or of all where a language has none. Without any, every document is kept. Quantiles
     are of a mergeable sketch with 1/10,000 error in rank. Repeated ids are scored row by row.
     """
-    ids = trusted.select("doc_id").distinct()
+    ids = saved(trusted.select("doc_id").distinct())
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % held_out == 0
-    learning = docs.select("doc_id", "text").join(ids.where(~held), "doc_id", "left_semi")
-    vocabulary = learn_vocabulary(learning)
-    table = log_table(*fit(count_trigrams(learning, vocabulary)))
-    scored = saved(perplexities(docs.select("doc_id", "lang", "text"), vocabulary, table).select("doc_id", "lang", "perplexity"))
+    row = F.xxhash64("doc_id", "text").alias("row")
+    learning = ids.where(~held).withColumn("learn", F.lit(True))
+    texts = docs.select("doc_id", "text", row).join(learning, "doc_id", "left").select("row", "learn", "text")
+    scored = saved(docs.select("doc_id", "lang", row).join(word_ngrams.perplexities(texts), "row").select("doc_id", "lang", "perplexity"))
     sample = scored.join(ids.where(held), "doc_id", "left_semi")
     at = lambda d: d.agg(F.percentile_approx("perplexity", quantile, 10000).alias("t"))
     by_lang = at(sample.groupBy(F.col("lang").alias("l")))
