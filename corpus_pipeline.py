@@ -12,11 +12,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import minhash, mixing, packing, suffix_dedup, toxicity
-from tessera.llm.common import WORD, prepare
+from tessera.llm.common import WORD, numbered, prepare, saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``key``, a hash of the whole row, its nulls told apart: rows of one key are equal."""
+    return docs.select(*COLUMNS, F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]).alias("key"))
+
+
+def _taken(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows as often as ``wanted`` (key, m: rows of the key, copies: of all of them) says; only repeated rows are numbered."""
+    wanted = saved(wanted.where("copies > 0"))
+    once = keyed.join(wanted.where("m = 1").select("key", "copies"), "key")
+    again = numbered(keyed.join(wanted.where("m > 1"), "key"), ["key"], "i")
+    share = F.floor(F.col("copies") / F.col("m")) + (F.col("i") < F.col("copies") % F.col("m")).cast("long")
+    both = once.select(*COLUMNS, "copies").union(again.select(*COLUMNS, share.alias("copies"))).where("copies > 0")
+    return both.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select(COLUMNS)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more go. The model is fitted on this stage's labelled rows, a fifth held out."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -24,9 +39,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at similarity 0.8 on five-word shingles, the one with the least id stays."""
-    classes = minhash.near_duplicates(docs, words_per_shingle=5, percent=80)
-    return docs.join(classes.where("kept").select("doc_id"), "doc_id", "left_semi").select(COLUMNS)
+    """Of rows linked at similarity 0.8 on five-word shingles, one with the least id stays; rows without words all stay."""
+    keyed = _keyed(docs)
+    classes = minhash.near_duplicates(keyed, words_per_shingle=5, percent=80, key_col="key")
+    kept = classes.where("kept").groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max("n_shingles").alias("n_shingles"))
+    return _taken(keyed, kept.select("key", "m", F.when(F.col("n_shingles") > 0, F.lit(1).cast("long")).otherwise(F.col("m")).alias("copies")))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +55,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: 150 % of all words, sources weighing 5, 2, 1, at most twice each."""
-    mixed = mixing.mix_sources(docs, "doc_id", "source", F.regexp_count("text", F.lit(WORD)))
-    taken = mixed.where("copies > 0").select("doc_id", "copies")
-    return docs.join(taken, "doc_id").select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select(COLUMNS)
+    keyed = _keyed(docs)
+    mixed = mixing.mix_sources(keyed, "key", "source", F.regexp_count("text", F.lit(WORD)))
+    return _taken(keyed, mixed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("copies").alias("copies")))
 
 
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -178,15 +178,20 @@ def _links(pool: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         slots *= 4
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, percent: int = 80, key_col: str | None = None) -> DataFrame:
     """A row for each row of ``df``: id, n_shingles, component_id (least id reachable by links), kept.
 
     Words are runs of non-white-space after A-Z are lower-cased. Rows link when 100 * intersection >= percent * union of
     their shingle sets; equal sets always do, whatever their ids. Null and empty texts have no set, link with nothing and
     are their own component. A row with a null id gets the least id of its component, or null, and isn't kept unless it
     has no set. Sketches find a pair at similarity 0.8 with probability above 1 - 1e-7. Extra columns are left out.
+
+    With ``key_col``, a long that is never null and stands for id and text, the result has it too, and kept are of each
+    component the rows of one key alone: that of the least (id, key), a null id last.
     """
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("row", F.xxhash64("id", "text"))
+    if key_col is not None:
+        docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{key_col}`").alias("row"))
     signed = saved(signatures(docs, words_per_shingle))
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     classes = saved(signed.where("digest is not null").groupBy(F.col("digest").alias("node")).agg(least.alias("of"), F.min("bands").alias("bands")))
@@ -195,7 +200,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = pool.select("node").distinct().join(classes, "node").select("of.row")
     sets = saved(shingle_sets(docs.join(wanted, "row", "left_semi"), words_per_shingle).groupBy("digest").agg(F.first("shingles").alias("shingles")))
     joined = components(_links(pool, sets, percent))
-    tops = classes.select("node", "of.id").join(joined.withColumnRenamed("id", "node"), "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
+    tops = classes.select("node", "of.id", "of").join(joined.withColumnRenamed("id", "node"), "node", "left").select("node", "id", "of", F.coalesce("component", "node").alias("component"))
+    if key_col is not None:
+        best = tops.groupBy("component").agg(F.min("of").alias("best")).select("component", F.col("best.id").alias("component_id"), F.col("best.row").alias("best"))
+        owner = saved(tops.join(saved(best), "component").select(F.col("node").alias("digest"), "component_id", "best"))
+        out = signed.select("id", "row", "n_shingles", "digest").join(owner, "digest", "left")
+        own = F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("component_id"))
+        kept = F.col("digest").isNull() | (F.col("row") == F.col("best"))
+        return out.select(F.col("id").alias(id_col), F.col("row").alias(key_col), "n_shingles", own.alias("component_id"), kept.alias("kept"))
     best = tops.groupBy("component").agg(F.min("id").alias("component_id"))
     owner = saved(tops.join(saved(best), "component").select(F.col("node").alias("digest"), "component_id"))
     out = signed.select("id", "n_shingles", "digest").join(owner, "digest", "left")

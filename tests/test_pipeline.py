@@ -1,0 +1,42 @@
+"""Pipeline stages on null ids, repeated rows and equal ids."""
+
+from collections import Counter
+
+import corpus_pipeline
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def text(seed, n=30):
+    return " ".join(f"w{seed}x{j}" for j in range(n))
+
+
+def make(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], DOCS).repartition(3)
+
+
+def test_near_duplicates_keep_one_row_of_each_component(spark):
+    near = text(6) + " tail"
+    rows = [(1, text(1), "a"), (None, text(2), "a"), (None, text(3), "a"), (None, text(3), "a"), (4, text(4), "a"), (4, text(4), "a"), (4, text(4), "b"), (5, text(5), "a"), (5, text(9), "a"), (7, text(6), "a"), (6, near, "a"), (None, text(6), "a"), (8, "", "a"), (8, "", "a"), (None, None, None)]
+    out = corpus_pipeline.drop_near_duplicates(spark, make(spark, rows), "").collect()
+    got = Counter((x.doc_id, x.text) for x in out)
+    assert got == Counter([(1, text(1)), (None, text(2)), (None, text(3)), (4, text(4)), (5, text(5)), (5, text(9)), (6, near), (8, ""), (8, ""), (None, None)])
+
+
+def test_mixing_takes_the_copies_it_draws(spark):
+    rows = [(i, text(i, 5 + i % 7), f"s{i % 3}") for i in range(60)] + [(100, text(100, 9), "s0")] * 20 + [(None, text(200 + i, 8), None) for i in range(10)] + [(100, text(101, 9), "s0")]
+    docs = make(spark, rows)
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(t.split())
+    out = corpus_pipeline.mix_to_targets(spark, docs, "").collect()
+    got = Counter()
+    for x in out:
+        got[x.source] += len(x.text.split())
+    targets = {x.source: x.target for x in corpus_pipeline.mixing.mix_sources(docs, "doc_id", "source", corpus_pipeline.F.regexp_count("text", corpus_pipeline.F.lit(corpus_pipeline.WORD))).select("source", "target").distinct().collect()}
+    assert got[None] > 0
+    for s, target in targets.items():
+        assert abs(got[s] - target) <= 11, (s, got[s], target)
+    most = Counter((x.doc_id, x.text) for x in out)
+    have = Counter((i, t) for i, t, _ in rows)
+    assert all(n <= 2 * have[k] for k, n in most.items())
