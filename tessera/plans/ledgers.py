@@ -72,6 +72,21 @@ def selection_audit(e) -> str:
     return f"select d.source, {', '.join(f'cast(count(case when x.decision = {chr(39)}{k}{chr(39)} then 1 end) as bigint) as {k}s' for k in ('accept', 'defer', 'reject'))}, cast(count(case when x.decision <> x.would_be then 1 end) as bigint) as overrides from {{documents}} d join ({selection_decisions(e)}) x on x.doc_id = d.doc_id group by d.source"
 
 
+def selection_decisions_all(e) -> str:
+    """A decision for every document, one that shares no word with the benchmark scoring 0; a score at a threshold passes it.
+
+    Scores and thresholds are rounded, so that both engines compare the same numbers.
+    """
+    scored = f"select d.doc_id, d.source, round(coalesce(s.score, cast(0 as double)), 9) as score from {{documents}} d left join ({_scores(e)}) s on s.doc_id is not distinct from d.doc_id"
+    cut = f"select round({e.quantile('score', 0.6)}, 9) as hi, round({e.quantile('score', 0.35)}, 9) as lo from ({scored}) q"
+    ruled = "case when s.score >= c.hi then 'accept' when s.score >= c.lo then 'defer' else 'reject' end"
+    return f"select s.doc_id, s.source, {ruled} as would_be, case when s.source in ('src0', 'src1') then 'accept' else {ruled} end as decision from ({scored}) s cross join ({cut}) c"
+
+
+def selection_audit_all(e) -> str:
+    return f"select source, {', '.join(f'cast(count(case when decision = {chr(39)}{k}{chr(39)} then 1 end) as bigint) as {k}s' for k in ('accept', 'defer', 'reject'))}, cast(count(case when decision <> would_be then 1 end) as bigint) as overrides from ({selection_decisions_all(e)}) x group by source"
+
+
 def label_centroids(e) -> str:
     return f"select label, cast(count(*) as bigint) as vectors, round(avg(sqrt({e.dot('embedding', 'embedding')})), 4) as mean_norm from {{embeddings}} group by label"
 
@@ -82,4 +97,4 @@ def nearest_to_queries(e) -> str:
     return f"select query, vec_id, rank from (select q.vec_id as query, v.vec_id, cast(row_number() over (partition by q.vec_id order by round({cos}, 9) desc, v.vec_id) as bigint) as rank from {{embeddings}} q join {{embeddings}} v on q.label = v.label and q.vec_id <> v.vec_id where q.vec_id % 100 = 0) t where rank <= 5"
 
 
-QUERIES = {f.__name__: f for f in (ledger_contiguity, replay_state, cumulative_floor, resume_equivalence, fork_lineage, learning_trace, json_ledger, throughput, token_profile, selection_decisions, selection_audit, label_centroids, nearest_to_queries)}
+QUERIES = {f.__name__: f for f in (ledger_contiguity, replay_state, cumulative_floor, resume_equivalence, fork_lineage, learning_trace, json_ledger, throughput, token_profile, selection_decisions, selection_audit, selection_decisions_all, selection_audit_all, label_centroids, nearest_to_queries)}

@@ -29,6 +29,11 @@ def effect_table(e) -> str:
     return f"select a.lane, a.name, case when abs(a.loss - o.loss) > f.floor + 1e-6 then 'REAL' else 'not readable' end as verdict from (select lane, name, avg(loss) as loss from ({_study(e)}) s group by lane, name) a join (select lane, avg(loss) as loss from ({_study(e)}) s group by lane) o on a.lane = o.lane join ({noise_floor(e)}) f on f.lane = a.lane where abs(abs(a.loss - o.loss) - f.floor) > 1e-6"
 
 
+def effect_table_all(e) -> str:
+    """A verdict for every mixture and lane: an effect is real above the floor, both rounded, and one at the floor isn't."""
+    return f"select a.lane, a.name, case when round(abs(a.loss - o.loss), 6) > f.floor then 'REAL' else 'not readable' end as verdict from (select lane, name, avg(loss) as loss from ({_study(e)}) s group by lane, name) a join (select lane, avg(loss) as loss from ({_study(e)}) s group by lane) o on a.lane = o.lane join ({noise_floor(e)}) f on f.lane = a.lane"
+
+
 def lane_wins(e) -> str:
     return f"select lane, run from (select lane, run, row_number() over (partition by lane order by round(loss, 6), run) as rn from ({_study(e)}) s) t where rn = 1"
 
@@ -53,4 +58,4 @@ def hit_rates(e) -> str:
     return "select lang, cast(count(*) as bigint) as docs, round(cast(count(case when l.quality = 1 then 1 end) as double) / count(*), 6) as quality_rate, round(cast(count(case when l.toxic = 1 then 1 end) as double) / count(*), 6) as toxic_rate from {documents} d join {labels} l on d.doc_id = l.doc_id group by lang"
 
 
-QUERIES = {f.__name__: f for f in (noise_floor, monotonicity_violations, interaction_pairs, effect_table, lane_wins, supply_ledger, mixture_compliance, stage_boundaries, hit_rates)}
+QUERIES = {f.__name__: f for f in (noise_floor, monotonicity_violations, interaction_pairs, effect_table, effect_table_all, lane_wins, supply_ledger, mixture_compliance, stage_boundaries, hit_rates)}
