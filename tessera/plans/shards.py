@@ -109,8 +109,22 @@ def strided_sample(e) -> str:
     return f"select d.doc_id, d.rn from (select doc_id, row_number() over (order by doc_id) - 1 as rn, count(*) over () as n from {{benchmark}} b join {{documents}} d on b.item_id = d.doc_id) d join (select {e.each(e.range('0', '9'))} as i) s on d.rn = (s.i * 7919) % d.n"
 
 
+def strided_sample_by_source(e) -> str:
+    """Ten strides over all documents of each source, in order of doc_id, null first: as many as it has where it has fewer.
+
+    Documents are counted in blocks of a thousand ids; only the blocks that a stride falls in are numbered row by row.
+    """
+    docs = "select doc_id, source, coalesce(cast(floor(doc_id / 1000) as bigint), cast(-9223372036854775 as bigint) - 1000) as block from {documents}"
+    counted = f"select source, block, cast(count(*) as bigint) as m from ({docs}) d group by source, block"
+    placed = f"select source, block, m, cast(coalesce(sum(m) over (partition by source order by block rows between unbounded preceding and 1 preceding), 0) as bigint) as off, cast(sum(m) over (partition by source) as bigint) as n from ({counted}) c"
+    wanted = f"select p.source, p.block, p.off, s.i, (s.i * 7919) % p.n as rn from ({placed}) p join (select {e.each(e.range('0', '9'))} as i) s on s.i < p.n and (s.i * 7919) % p.n >= p.off and (s.i * 7919) % p.n < p.off + p.m"
+    blocks = f"select distinct source, block, off from ({wanted}) w"
+    numbered = f"select d.doc_id, d.source, b.off + row_number() over (partition by d.source, d.block order by d.doc_id nulls first) - 1 as rn from ({docs}) d join ({blocks}) b on d.block = b.block and d.source is not distinct from b.source"
+    return f"select w.source, w.i, cast(w.rn as bigint) as rn, x.doc_id from ({wanted}) w join ({numbered}) x on x.rn = w.rn and x.source is not distinct from w.source"
+
+
 def tail_split(e) -> str:
     return "select source, cast(count(case when rn > 0.8 * n then 1 end) as bigint) as validation, cast(count(*) as bigint) as docs from (select source, row_number() over (partition by source order by doc_id) as rn, count(*) over (partition by source) as n from {documents}) t group by source"
 
 
-QUERIES = {f.__name__: f for f in (content_split, split_overlap, band_thresholds, band_assign, reserved_docs, shard_offsets, budget_prefix, lane_rollup, firewall, pack_concat, packing_report, pack_long_doc, span_clip, segment_targets, attention_pairs, deterministic_draws, strided_sample, tail_split)}
+QUERIES = {f.__name__: f for f in (content_split, split_overlap, band_thresholds, band_assign, reserved_docs, shard_offsets, budget_prefix, lane_rollup, firewall, pack_concat, packing_report, pack_long_doc, span_clip, segment_targets, attention_pairs, deterministic_draws, strided_sample, strided_sample_by_source, tail_split)}

@@ -15,7 +15,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", ["selection_decisions_all", "selection_audit_all", "effect_table_all"])
+@pytest.mark.parametrize("name", ["selection_decisions_all", "selection_audit_all", "effect_table_all", "strided_sample_by_source"])
 def test_same_rows(spark, duck, name):
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(duck.execute(SQL[name]).df())
 
@@ -33,3 +33,15 @@ def test_every_document_gets_a_decision(spark, tmp_path):
     assert QUERIES["selection_decisions"](spark, str(tmp_path)).count() < 100
     audit = QUERIES["selection_audit_all"](spark, str(tmp_path)).collect()
     assert sum(x.accepts + x.defers + x.rejects for x in audit) == 100
+
+
+def test_strides_run_over_every_document_of_a_source(spark, tmp_path):
+    ids = {"a": [*range(0, 9000, 3), None, None], "b": [5, 7, 2], None: list(range(40000, 40100))}
+    docs = [(i, "x", "en", s, 1) for s, of in ids.items() for i in of]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for s, of in ids.items():
+        of = sorted(of, key=lambda i: (i is not None, i or 0))
+        want += [(s, i, i * 7919 % len(of), of[i * 7919 % len(of)]) for i in range(min(10, len(of)))]
+    got = [(x.source, x.i, x.rn, x.doc_id) for x in QUERIES["strided_sample_by_source"](spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
