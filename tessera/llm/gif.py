@@ -328,14 +328,14 @@ DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_b
 
 
 def op6_gif(spark, sf_dir: str) -> DataFrame:
-    """Each whole text through a GIF and back, with the digests of the stored form and the colour histogram read from it."""
+    """Each whole text through a GIF with a growing LZW table and back, frames drawn, with the digests of the stored form and the colour histogram read from it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: dict[str, list] = {n: [] for n in DIGEST.names}
             for doc_id, n, media in zip(b.column("doc_id").to_pylist(), b.column("n").to_pylist(), b.column("media"), strict=True):
                 media = media.as_py()
-                frames = decode(media, shown=False)
+                frames = decode(media)
                 back = b"".join(f.indices.tobytes() for f in frames)
                 colours = sum(histogram(f, 8) for f in frames)
                 some = np.flatnonzero(colours)
@@ -345,5 +345,5 @@ def op6_gif(spark, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict(rows, DIGEST)
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "text")
-    stored = encode_texts(docs).selectExpr("doc_id", "cast(coalesce(octet_length(text), 0) as long) as n", "media")
+    stored = encode_texts(docs, tight=True).selectExpr("doc_id", "cast(coalesce(octet_length(text), 0) as long) as n", "media")
     return map_batches(stored, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
