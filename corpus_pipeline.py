@@ -67,7 +67,8 @@ def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("repeats", cut_repeats), ("mixing", mix_to_targets), ("packing", pack_bins)]
 
-#: The stages rest on a fitted model, hashes and draws; tests hold each against brute force.
+#: The stages rest on a fitted model, hashes and draws; tests hold near_duplicates and mixing on null
+#: ids and repeated rows, the operators of the others by brute force or examples, and the whole pipeline not at all.
 ORACLE_SQL = None
 
 

@@ -23,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: No operator here has SQL: each rests on hashes, draws, fitted models or byte formats that DuckDB lacks, or would need
-#: every pair of rows. tests/llm holds them against brute force instead.
+#: every pair of rows. tests/llm holds their operators to brute force
+#: or examples instead, and of the queries as registered op6_gif alone.
 SQL: dict[str, str] = {}
