@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-#: Rows of one Arrow batch. Texts run to hundreds of kilobytes, so a batch stays small.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch: texts run to megabytes, so rows alone don't bound it.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 #: ASCII white space, which separates words.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,6 +24,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 def prepare(spark: SparkSession) -> None:
     """Bound Arrow batches, send the package to the executors, and name a checkpoint folder where the cluster names none."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     ship(spark)
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
@@ -41,7 +42,17 @@ def saved(df: DataFrame) -> DataFrame:
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     tidy(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of ``saved`` that nothing reads any more."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table._table)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def held(df: DataFrame) -> DataFrame:
@@ -121,25 +132,25 @@ def numbered(df: DataFrame, group: Sequence[str], name: str) -> DataFrame:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): (id, component), the smallest id of each, by large-star and small-star rounds.
 
-    Both stars link nodes to the least node near them, so edges never outnumber the input's. Each round is
-    checkpointed; rounds grow with the logarithm of the longest path. Edges (a, a) yield components of one.
+    Both stars link nodes to the least node near them, so edges never outnumber the input's. Each round is written as a
+    table and the one before it deleted; rounds grow with the logarithm of the longest path, and end when every node has
+    one edge, to a node that has none. Edges (a, a) yield components of one.
     """
     loops = edges.where("a = b").select(F.col("a").alias("id"), F.col("a").alias("component"))
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
     for _ in range(most_rounds):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))  # saved: a hot hub's edges can then be split
         large = saved(both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-        near = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(near.hint("merge"), "a")
-        now = saved(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(near.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if new == mark:
+        near = saved(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = large.join(near.where("n > 1").hint("merge"), "a")
+        new = saved(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(near.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        loose = new.groupBy("a").count().where("count > 1").select("a").union(new.select(F.col("b").alias("a")).distinct().intersect(new.select("a"))).isEmpty()
+        dropped(now, least, large, near)
+        now = new
+        if loose:
             break
-        mark = new
     else:
         raise RuntimeError("components did not settle")
-    of = now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("id"), "component")
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return of.union(roots).union(loops).groupBy("id").agg(F.min("component").alias("component"))
+    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots).union(loops).groupBy("id").agg(F.min("component").alias("component"))
