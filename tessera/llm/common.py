@@ -68,6 +68,24 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bits of the filter of ``among``; a power of two. It takes 4 MB, however many keys there are.
+FILTER_BITS = 1 << 25
+
+
+def among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be in ``keys`` (one column of longs): all that are, and few others while keys are few.
+
+    A bitmap of hashed keys is broadcast, in at most FILTER_BITS / 32768 rows of 4 KB, so that only what it lets through
+    goes on to a join. With more keys than bits it lets most rows through; the join then decides as without it.
+    """
+    spot = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
+    bits = keys.toDF(column).select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket__")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits__"))
+    at = F.bitmap_bit_position(spot)
+    byte = F.conv(F.hex(F.substring("bits__", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    met = df.withColumn("bucket__", F.bitmap_bucket_number(spot)).join(F.broadcast(saved(bits)), "bucket__")
+    return met.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(df.columns)
+
+
 def shuffle_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

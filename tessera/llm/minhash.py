@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dropped, map_batches, mix64, ragged, saved, whole, words
+from .common import among, components, dropped, map_batches, mix64, ragged, saved, whole, words
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
@@ -105,32 +105,39 @@ def odd_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-LISTS = ("bands", "shingles", "odd")
-SIGNED = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), *((n, pa.list_(pa.int64())) for n in LISTS)])
+SIGNED = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(id, row, text) to (id, row, n_shingles, digest of the set, bands, shingles, odd sketch); an empty set has none of the last four."""
+    """(id, row, text) to (id, row, n_shingles, digest of the set, bands); an empty set has no digest and no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets: list = [None] * b.num_rows
-            rows, sketches = [], []
+            counts, digests, rows, sketches = [], [], [], []
             for i, s in _each(b, k):
+                counts.append(len(s))
+                digests.append(_digest(s) if len(s) else None)
                 if len(s):
-                    sets[i] = s.view(np.int64)
                     rows.append(i)
                     sketches.append(sketch(s))
-            bands: list = [None] * b.num_rows
+            bands: list = [None] * len(counts)
             for i, keys in zip(rows, band_keys(np.array(sketches)) if rows else [], strict=True):
                 bands[i] = keys
-            counts = [0 if s is None else len(s) for s in sets]
-            digests = [None if s is None else _digest(s) for s in sets]
-            odd = [None if s is None else odd_sketch(s.view(np.uint64)) for s in sets]
-            lists = (pa.array(x, pa.list_(pa.int64())) for x in (bands, sets, odd))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), *lists], schema=SIGNED)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("row"), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=SIGNED)
 
-    return map_batches(docs, run, "id long, row long, n_shingles long, digest binary, bands array<long>, shingles array<long>, odd array<long>")
+    return map_batches(docs, run, "id long, row long, n_shingles long, digest binary, bands array<long>")
+
+
+def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """(text) to (digest, shingles, odd sketch), a row for each text that has words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [s for _, s in _each(b, k) if len(s)]
+            lists = (pa.array(x, pa.list_(pa.int64())) for x in ([s.view(np.int64) for s in sets], [odd_sketch(s) for s in sets]))
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), *lists], names=["digest", "shingles", "odd"])
+
+    return map_batches(docs.select("text"), run, "digest binary, shingles array<long>, odd array<long>")
 
 
 def _crowded(members: DataFrame) -> DataFrame:
@@ -243,7 +250,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     full = saved(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     members = saved(buckets.select("key", "node", "at").join(full.hint("merge"), "key"))
     pool = saved(members.select("node").distinct())
-    sets = saved(signed.select(F.col("at").alias("node"), *LISTS).join(pool.hint("merge"), "node"))
+    wanted = saved(classes.join(pool.hint("merge"), "node").select("digest", "node", "bands", "of.row"))
+    texts = among(docs, "row", wanted.select("row"))
+    found = shingle_sets(texts, words_per_shingle).groupBy("digest").agg(F.first("shingles").alias("shingles"), F.first("odd").alias("odd"))
+    sets = saved(found.join(wanted.select("digest", "node", "bands"), "digest").drop("digest"))
     joined = components(_links(members, sets, percent))
     tops = classes.select("digest", "node", "of").join(joined.withColumnRenamed("id", "node"), "node", "left").select("digest", "of", F.coalesce("component", "node").alias("component"))
     if key_col is not None:
