@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import map_batches, prepare, whole, words
+from .common import WORD, map_batches, prepare, saved, whole, words
 
 ORDER, DECAY, LONGEST = 3, 0.7, 24
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -147,7 +147,7 @@ def sentences(text: str) -> list[list[str]]:
     """The distinct units of each sentence; units written apart count in the text's first one."""
     out = []
     for s in SENTENCE.split(text):
-        units = normal_units(s.split())
+        units = normal_units(re.findall(WORD, s))
         out.append(sorted({p for u in units if u for p in pieces(u)}))
     apart = sorted({p for u in joined(text) for p in pieces(u.lower())})
     return [u for u in [*out, apart] if u]
@@ -177,8 +177,12 @@ def _apart(ranked: list[str], most: int, nearest: float = 0.75) -> list[str]:
     return [ranked[i] for i in out]
 
 
-def fit(rows: list[tuple[str, int]], n_toxic: int = 40, n_plain: int = 8, rounds: int = 4) -> Model:
-    """Fit on (text, label) rows; without both labels, a model that gives every text the share of label 1."""
+def fit(rows: list[tuple[str, int]], n_toxic: int = 40, n_plain: int = 8, rounds: int = 4, n_clean: int = 10000) -> Model:
+    """Fit on (text, label) rows; without both labels, a model that gives every text the share of label 1.
+
+    The rows are a bounded sample. Of their distinct clean units, each round's machine is fitted on the ``n_clean`` of
+    highest margin; of the others few would be among its support vectors.
+    """
     share = float(np.mean([y for _, y in rows])) if rows else 0.0
     bags = [(sentences(t), y) for t, y in rows]
     seen = {y: Counter(u for b, z in bags if z == y for u in {u for s in b for u in s}) for y in (0, 1)}
@@ -211,14 +215,14 @@ def fit(rows: list[tuple[str, int]], n_toxic: int = 40, n_plain: int = 8, rounds
     w = np.zeros(features.shape[1] + 1)
     for _ in range(rounds):
         chosen = np.array([max((index[u] for s in b for u in s), key=lambda i: (margin[i], -i)) for b, y in bags if y == 1 and b])
-        hard = clean[np.argsort(-margin[clean], kind="stable")[:10000]]
+        hard = clean[np.argsort(-margin[clean], kind="stable")[:n_clean]]
         x = np.vstack([features[chosen], features[hard]]).astype(np.float64)
         y = np.concatenate([np.ones(len(chosen)), -np.ones(len(hard))])
         weight = np.concatenate([np.ones(len(chosen)), spread[hard]])  # a unit of clean texts counts once for each of them
         w = _machine(x, y, weight)
         margin = features @ w[:-1] + w[-1]
     top = np.array([max((margin[index[u]] for s in b for u in s), default=-9.0) for b, _ in bags])
-    count = np.array([sum(map(len, b)) for b, _ in bags])
+    count = np.array([len(re.findall(WORD, t)) for t, _ in rows])  # as score_texts counts them
     z = np.stack([top, np.log1p(count), np.ones(len(top))], axis=1)
     y = np.array([y for _, y in bags], float)
     curve, ridge = np.zeros(3), np.array([1e-2, 1.0, 1e-4])
@@ -239,14 +243,17 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 2400, longest: in
     """Fit on a bounded sample of labelled rows: at most ``most_rows`` in all, half of each label as far as there are any.
 
     Rows of texts over ``longest`` characters aren't drawn, nor those whose crc32(id) mod ``held_out`` is 0. The draw is by
-    hash of the id. One task fits the model; the bound makes its work the same at every size.
+    hash of the id, from ids and lengths alone; texts are read for the ids drawn, at most ``most_rows``, which are
+    broadcast. One task fits the model; the bound makes its work the same at every size.
     """
     plain = labels.where("toxic in (0, 1)").selectExpr("cast(doc_id as long) as doc_id", "cast(toxic as int) as toxic")
     if held_out:
         plain = plain.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % held_out != 0)
-    few = plain.withColumn("h", F.xxhash64("doc_id"))
     pool = docs.selectExpr("cast(doc_id as long) as doc_id", "text").where(f"length(text) <= {longest}")
-    parts = [pool.join(few.where(f"toxic = {y}").drop("toxic"), "doc_id").orderBy("h", "doc_id").limit(most_rows // 2).selectExpr("text", f"{y} as toxic", "h", "doc_id") for y in (0, 1)]
+    able = plain.join(pool.select("doc_id"), "doc_id", "left_semi").distinct().withColumn("h", F.xxhash64("doc_id"))
+    drawn = saved(reduce(DataFrame.union, [able.where(f"toxic = {y}").orderBy("h", "doc_id").limit(most_rows // 2) for y in (0, 1)]))
+    rows = pool.join(F.broadcast(drawn), "doc_id").select("text", "toxic", "h", "doc_id")
+    parts = [rows.where(f"toxic = {y}").orderBy("h", "doc_id", "text").limit(most_rows // 2) for y in (0, 1)]  # repeated ids may give more rows
 
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["toxic"], r["h"], r["doc_id"], r["text"]))
