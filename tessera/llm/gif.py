@@ -17,9 +17,6 @@ from .common import map_batches
 
 WIDTH, TALLEST = 64, 65535
 GREY = bytes(v for i in range(256) for v in (i, i, i))
-CLEAR, END = 256, 257
-#: Literal codes between clears: the table then stays below 512 entries and every code has 9 bits.
-RUN = 254
 HEADER = struct.Struct("<6sHHBBB")
 
 
@@ -37,124 +34,95 @@ class Frame:
     rgba: np.ndarray | None
 
 
-def pack_literals(data: np.ndarray) -> bytes:
-    """``data`` as an LZW stream of 9-bit literals with a clear code before each RUN of them."""
-    n = len(data)
-    runs = max(1, -(-n // RUN))
-    codes = np.full((runs, RUN + 1), END, np.uint16)
-    codes[:, 0] = CLEAR
-    body = np.full(runs * RUN, END, np.uint16)
-    body[:n] = data
-    codes[:, 1:] = body.reshape(runs, RUN)
-    flat = codes.reshape(-1)[: runs + n]
-    flat = np.append(flat, np.uint16(END))
-    pad = -len(flat) % 8
-    flat = np.append(flat, np.zeros(pad, np.uint16)).astype(np.uint64).reshape(-1, 8)
-    out = np.zeros((len(flat), 9), np.uint8)  # eight 9-bit codes make nine bytes, low bits first
-    low = np.zeros(len(flat), np.uint64)
-    for i in range(7):
-        low |= flat[:, i] << np.uint64(9 * i)
-    low |= (flat[:, 7] & np.uint64(1)) << np.uint64(63)
-    out[:, :8] = low.view(np.uint8).reshape(-1, 8)
-    out[:, 8] = (flat[:, 7] >> np.uint64(1)).astype(np.uint8)
-    used = ((runs + n + 1) * 9 + 7) // 8
-    return out.tobytes()[:used]
+def _widths(bits: int, count: int) -> np.ndarray:
+    """Bits of the codes after a clear code: they grow as the table does, up to 12."""
+    need = (1 << bits) + 2 + np.arange(count)
+    return np.clip(np.ceil(np.log2(need)), bits + 1, 12).astype(np.int64)
 
 
 def compress(data: bytes, bits: int = 8) -> bytes:
-    """``data`` as a true LZW stream with a growing table."""
+    """``data`` as an LZW stream with a growing table, cleared when it is full."""
     clear, end = 1 << bits, (1 << bits) + 1
-    acc = have = 0
-    out = bytearray()
-
-    def put(code: int, width: int) -> None:
-        nonlocal acc, have
-        acc |= code << have
-        have += width
-        while have >= 8:
-            out.append(acc & 255)
-            acc >>= 8
-            have -= 8
-
-    table: dict[tuple[int, int], int] = {}
-    free, width = end + 1, bits + 1
-    put(clear, width)
-    now = -1
-    for b in data:
-        if now < 0:
-            now = b
-        elif (k := table.get((now, b))) is not None:
+    codes, clears = [clear], [0]
+    table: dict[int, int] = {}
+    get, put, free = table.get, codes.append, end + 1
+    now = data[0] if data else -1
+    for b in data[1:]:
+        key = now << 8 | b
+        k = get(key)
+        if k is not None:
             now = k
+            continue
+        put(now)
+        now = b
+        if free < 4096:
+            table[key] = free
+            free += 1
         else:
-            put(now, width)
-            if free < 4096:
-                table[now, b] = free
-                if free == 1 << width and width < 12:
-                    width += 1
-                free += 1
-            else:
-                put(clear, width)
-                table.clear()
-                free, width = end + 1, bits + 1
-            now = b
+            clears.append(len(codes))
+            put(clear)
+            table.clear()
+            free = end + 1
     if now >= 0:
-        put(now, width)
-        if free == 1 << width and width < 12:
-            width += 1
-    put(end, width)
-    if have:
-        out.append(acc & 255)
-    return bytes(out)
+        put(now)
+    put(end)
+    width = np.empty(len(codes), np.int64)
+    width[0] = bits + 1
+    for a, z in zip(clears, [*(c + 1 for c in clears[1:]), len(codes)], strict=True):
+        width[a + 1 : z] = _widths(bits, z - a - 1)
+    place = np.arange(12)
+    flags = (np.array(codes, np.uint16)[:, None] >> place & 1).astype(np.uint8)
+    return np.packbits(flags[place < width[:, None]], bitorder="little").tobytes()
+
+
+#: Codes read from a stream at once.
+READ = 4096
 
 
 def unpack(stream: bytes, bits: int, size: int) -> np.ndarray:
-    """The first ``size`` samples of an LZW stream; ValueError if it holds fewer or a code that can't be."""
-    if bits == 8:  # a table that never outgrows nine bits: codes are read all at once
-        runs = max(1, -(-size // RUN))
-        count = runs + size
-        if len(stream) * 8 >= count * 9:
-            pad = np.frombuffer(stream + b"\0" * (-len(stream) % 9), np.uint8).reshape(-1, 9)
-            low = np.ascontiguousarray(pad[:, :8]).view(np.uint64).reshape(-1)
-            codes = np.empty((len(pad), 8), np.uint16)
-            for i in range(7):
-                codes[:, i] = (low >> np.uint64(9 * i)) & np.uint64(511)
-            codes[:, 7] = (low >> np.uint64(63)).astype(np.uint16) | (pad[:, 8].astype(np.uint16) << 1)
-            codes = codes.reshape(-1)[:count]
-            grid = np.append(codes, np.full(runs * (RUN + 1) - count, 0, np.uint16)).reshape(runs, RUN + 1)
-            if (grid[:, 0] == CLEAR).all() and (grid[:, 1:] < 256).all():
-                return grid[:, 1:].reshape(-1)[:size].astype(np.uint8)
+    """The first ``size`` samples of an LZW stream; ValueError if it holds fewer or a code that can't be.
+
+    Codes are cut out READ at a time, their places being known up to the next clear code; then each is looked up in the
+    table that grows as they are read.
+    """
     clear, end = 1 << bits, (1 << bits) + 1
     roots = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, width, before = list(roots), bits + 1, b""
-    out, acc, have, done = [], 0, 0, 0
-    for byte in stream:
-        acc |= byte << have
-        have += 8
-        while have >= width:
-            code = acc & ((1 << width) - 1)
-            acc >>= width
-            have -= width
-            if code == clear:
-                table, width, before = list(roots), bits + 1, b""
-                continue
-            if code == end or done >= size:
-                have = -1
-                break
-            if code < len(table):
+    raw = np.frombuffer(stream + b"\0\0\0", np.uint8).astype(np.uint32)
+    total, width = len(stream) * 8, _widths(bits, READ)
+    table, before, since, at = list(roots), b"", 0, 0
+    out: list[bytes] = []
+    done = 0
+    while done < size:
+        own = np.concatenate([width[since:], np.full(since, 12)]) if since else width  # after READ codes all have 12 bits
+        place = at + np.cumsum(own) - own
+        place = place[place + own <= total]
+        if not len(place):
+            raise ValueError("LZW stream too short")
+        own = own[: len(place)]
+        byte = place >> 3
+        found = (raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (place & 7).astype(np.uint32) & ((1 << own) - 1).astype(np.uint32)
+        marks = np.flatnonzero((found == clear) | (found == end))
+        n = int(marks[0]) if len(marks) else len(found)
+        grown = len(table)
+        for code in found[:n].tolist():
+            if code < grown:
                 entry = table[code]
-            elif code == len(table) and before:
+            elif code == grown and before:
                 entry = before + before[:1]
             else:
                 raise ValueError("LZW code out of range")
             out.append(entry)
-            done += len(entry)
-            if before and len(table) < 4096:
+            if before and grown < 4096:
                 table.append(before + entry[:1])
-                if len(table) == 1 << width and width < 12:
-                    width += 1
+                grown += 1
             before = entry
-        if have < 0:
+        done += sum(map(len, out[len(out) - n :]))
+        if not len(marks):
+            since, at = min(READ, since + n), int(place[-1] + own[-1])
+        elif found[n] == end:
             break
+        else:
+            table, before, since, at = list(roots), b"", 0, int(place[n] + own[n])
     if done < size:
         raise ValueError("LZW stream too short")
     return np.frombuffer(b"".join(out)[:size], np.uint8)
@@ -168,14 +136,14 @@ def _blocks(data: bytes) -> bytes:
     return out + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
-def encode(frames: list[np.ndarray], palette: bytes = GREY, delay_cs: int = 10, disposal: int = 1, tight: bool = False) -> bytes:
-    """Frames of palette indices (2-D uint8 arrays) as a GIF. ``tight``: a growing LZW table in place of literal codes."""
+def encode(frames: list[np.ndarray], palette: bytes = GREY, delay_cs: int = 10, disposal: int = 1) -> bytes:
+    """Frames of palette indices (2-D uint8 arrays) as a GIF."""
     tall, wide = max(f.shape[0] for f in frames), max(f.shape[1] for f in frames)
     out = [HEADER.pack(b"GIF89a", wide, tall, 0xF7, 0, 0), palette.ljust(768, b"\0")]
     for f in frames:
         out.append(struct.pack("<BBBBHBB", 0x21, 0xF9, 4, disposal << 2, delay_cs, 0, 0))
         out.append(struct.pack("<BHHHHB", 0x2C, 0, 0, f.shape[1], f.shape[0], 0))
-        out += [b"\x08", _blocks(compress(f.tobytes()) if tight else pack_literals(f.reshape(-1)))]
+        out += [b"\x08", _blocks(compress(f.tobytes()))]
     return b"".join(out) + b"\x3b"
 
 
@@ -307,7 +275,7 @@ def decode_frames(df: DataFrame, column: str, key: str = "doc_id") -> DataFrame:
 FRAMES_ARROW = pa.schema([("doc_id", pa.int64()), ("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int32()), ("disposal", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("indices", pa.binary()), ("rgb", pa.binary()), ("histogram", pa.list_(pa.int64()))])
 
 
-def encode_texts(df: DataFrame, text: str = "text", tight: bool = False) -> DataFrame:
+def encode_texts(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with a binary column ``media``: each text's padded UTF-8 bytes as a grey GIF, 64 samples a row.
 
     A null text counts as empty. Payloads of over 65,535 rows take more frames. An old ``media`` column is replaced.
@@ -318,7 +286,7 @@ def encode_texts(df: DataFrame, text: str = "text", tight: bool = False) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(names.index(text))
-            media = [encode(as_frames(payload_of((t.as_py() or "").encode())), tight=tight) for t in texts]
+            media = [encode(as_frames(payload_of((t.as_py() or "").encode()))) for t in texts]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(media, pa.binary())], [*names, "media"])
 
     return map_batches(df, run, StructType([*schema.fields]).add("media", BinaryType()))
@@ -345,5 +313,5 @@ def op6_gif(spark, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_pydict(rows, DIGEST)
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "text")
-    stored = encode_texts(docs, tight=True).selectExpr("doc_id", "cast(coalesce(octet_length(text), 0) as long) as n", "media")
+    stored = encode_texts(docs).selectExpr("doc_id", "cast(coalesce(octet_length(text), 0) as long) as n", "media")
     return map_batches(stored, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

@@ -12,7 +12,7 @@ def test_query_stores_true_lzw(spark, tmp_path):
     assert len(out) == len(texts)
     for i, t in enumerate(texts):
         payload = gif.payload_of((t or "").encode())
-        media = gif.encode(gif.as_frames(payload), tight=True)
+        media = gif.encode(gif.as_frames(payload))
         assert (out[i].media_bytes, out[i].media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
         assert (out[i].payload_bytes, out[i].payload_sha256) == (len(payload), hashlib.sha256(payload).hexdigest())
     assert out[1].media_bytes < 3000
