@@ -103,19 +103,28 @@ def unpack(stream: bytes, bits: int, size: int) -> np.ndarray:
         found = (raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (place & 7).astype(np.uint32) & ((1 << own) - 1).astype(np.uint32)
         marks = np.flatnonzero((found == clear) | (found == end))
         n = int(marks[0]) if len(marks) else len(found)
-        grown = len(table)
-        for code in found[:n].tolist():
+        codes = found[:n].tolist()
+        if codes and not before:
+            if codes[0] >= clear:
+                raise ValueError("LZW code out of range")
+            before = table[codes[0]]
+            out.append(before)
+            del codes[0]
+        grown, room = len(table), 4096 - len(table)
+        for code in codes[:room]:
             if code < grown:
                 entry = table[code]
-            elif code == grown and before:
+                table.append(before + entry[:1])
+            elif code == grown:
                 entry = before + before[:1]
+                table.append(entry)
             else:
                 raise ValueError("LZW code out of range")
             out.append(entry)
-            if before and grown < 4096:
-                table.append(before + entry[:1])
-                grown += 1
+            grown += 1
             before = entry
+        if len(codes) > room:  # the table is full, and every code of 12 bits is in it
+            out += [table[code] for code in codes[room:]]
         done += sum(map(len, out[len(out) - n :]))
         if not len(marks):
             since, at = min(READ, since + n), int(place[-1] + own[-1])
@@ -182,7 +191,7 @@ def _decode(data: bytes, shown: bool) -> Iterator[Frame]:
     if flags & 0x80:
         n = 3 << ((flags & 7) + 1)
         common, at = np.frombuffer(data, np.uint8, n, at).reshape(-1, 3), at + n
-    canvas = np.zeros((tall, wide, 4), np.uint8) if shown else None
+    canvas = np.zeros((tall, wide), np.uint32) if shown else None  # a pixel's four bytes as one number
     delay, disposal, clear = 0, 0, None
     while (kind := data[at]) != 0x3B:
         if kind == 0x21:
@@ -214,11 +223,11 @@ def _decode(data: bytes, shown: bool) -> Iterator[Frame]:
             saved = canvas.copy() if disposal == 3 else None
             box = canvas[top : top + h, left : left + w]
             cut = indices[: box.shape[0], : box.shape[1]]
-            seen = np.ones(cut.shape, bool) if clear is None else cut != clear
-            full = np.vstack([palette, np.zeros((256 - len(palette), 3), np.uint8)])
-            box[seen, :3] = full[cut][seen]
-            box[seen, 3] = 255
-            rgba = canvas.copy()
+            full = np.zeros((256, 4), np.uint8)
+            full[: len(palette), :3], full[:, 3] = palette, 255
+            colours = full.view(np.uint32).reshape(-1)[cut]
+            box[...] = colours if clear is None else np.where(cut == clear, box, colours)
+            rgba = canvas.copy().view(np.uint8).reshape(tall, wide, 4)
             if disposal == 2:
                 box[:] = 0
             elif saved is not None:
