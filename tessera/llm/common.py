@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches, send the package to the executors, and name a checkpoint folder where the cluster names none."""
+    """Bound Arrow batches, send the package to the executors, and name a checkpoint folder where none is named.
+
+    That is in the warehouse, which all machines share, or a temporary folder where driver and executors are one process.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     ship(spark)
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        own = tempfile.mkdtemp() if context.master.startswith("local[") or context.master == "local" else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
 
 
 def saved(df: DataFrame) -> DataFrame:
@@ -44,15 +49,35 @@ def saved(df: DataFrame) -> DataFrame:
     tidy(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._table = path
+    for made in _NOTED:
+        made.append(path)
     return out
 
 
+_NOTED: list[list[str]] = []
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The folders of the tables that ``saved`` writes meanwhile."""
+    _NOTED.append([])
+    try:
+        yield _NOTED[-1]
+    finally:
+        _NOTED.pop()
+
+
+def deleted(spark: SparkSession, folders: Sequence[str]) -> None:
+    context = spark.sparkContext
+    for folder in folders:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of ``saved`` that nothing reads any more."""
     for table in tables:
-        context = table.sparkSession.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(table._table)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        deleted(table.sparkSession, [table._table])
 
 
 def held(df: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ HELD = 2_000_000
 #: Segment bytes that a bucket of the merge aims at, and shards in it.
 MERGE_BYTES, SHARDS = 1 << 18, 2
 #: Of a window of 100, as many bytes at least lie left of its minimiser's string, or else right of it.
-RUNS = np.dtype([("f", "<u8"), ("s", "<u4"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("start", "<i4"), ("n", "u1"), ("lead", "u1")])
+RUNS = np.dtype([("f", "<u8"), ("s", "<u8"), ("left", "<u2"), ("right", "<u2"), ("doc", "<i8"), ("start", "<i4"), ("n", "u1"), ("lead", "u1")])
 WANT = np.dtype([("f", "<u8"), ("start", "<i4"), ("n", "u1")])
 HEAD = np.dtype([("f", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("n", "u1")])
 _U = np.uint64
@@ -103,7 +103,7 @@ def runs_of(buf: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int)
     side, string = (length - KMER) // 2, where[first]
     out = np.zeros(len(first), RUNS)
     out["f"], out["start"], out["n"] = h[string], begin, count
-    out["s"] = span(begin, begin + count - 1 + length) + count.astype(np.uint64) >> _U(32)
+    out["s"] = mix64(span(begin, begin + count - 1 + length) + count.astype(np.uint64))
     out["lead"] = lead = np.clip(string - side - begin + 1, 0, count)
     left, right = lead > 0, lead < count
     out["left"][left] = span(string[left] - side, string[left]) >> _U(48)
@@ -139,12 +139,14 @@ def _covers(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tup
 
 
 def reduce_runs(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs in order of (minimiser, segment, doc, start), and which are the first of their segment."""
-    content = runs["s"].astype(np.uint64) << _U(32) | runs["left"].astype(np.uint64) << _U(16) | runs["right"]
-    o = np.lexsort((runs["start"], runs["doc"], content, runs["f"]))
-    runs, content = runs[o], content[o]
+    """Runs in order of (minimiser, segment, doc, start), and which are the first of their segment.
+
+    Segments count as equal when minimiser, segment (64 bits each, by unlike tables) and number of windows are.
+    """
+    o = np.lexsort((runs["start"], runs["doc"], runs["n"], runs["s"], runs["f"]))
+    runs = runs[o]
     first = np.ones(len(runs), bool)
-    first[1:] = (runs["f"][1:] != runs["f"][:-1]) | (content[1:] != content[:-1])
+    first[1:] = (runs["f"][1:] != runs["f"][:-1]) | (runs["s"][1:] != runs["s"][:-1]) | (runs["n"][1:] != runs["n"][:-1])
     return runs, first
 
 
@@ -435,12 +437,13 @@ def ordered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return keyed.join(ranks, on).select(*[keyed[c] for c in df.columns], ranks["__ord"])
 
 
-def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
+def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, characters: bool = False) -> DataFrame:
     """``df`` with columns kept (binary, the bytes left), n_bytes, n_removed and n_spans (maximal removed runs).
 
     Texts are UTF-8 bytes, null counts as empty; earlier means the smaller id (null last), for equal ids the smaller
     SHA-256 of the text, for equal rows any one, in the same text the earlier start. Strings are judged on the input.
-    Old columns of these names are replaced, others stay. Every row gives a row.
+    Old columns of these names are replaced, others stay. Every row gives a row. With ``characters``, what a cut leaves of
+    a character goes from ``kept`` too, so that it is UTF-8; n_removed doesn't count that.
     """
     base = saved_order = ordered(df.drop("kept", "n_bytes", "n_removed", "n_spans"), id_col, text_col)
     spans = repeated_spans(saved_order.select(F.col("__ord").alias("ord"), F.col(f"`{text_col}`").alias("text")), length)
@@ -460,7 +463,8 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 pairs = np.frombuffer(b"".join(blobs), "<i4").reshape(-1, 2)
                 _, start, end = merged(np.zeros(len(pairs), np.int64), pairs[:, 0], pairs[:, 1])
                 edges = [0, *np.stack([start, end], axis=1).reshape(-1).tolist(), len(data)]
-                kept.append(b"".join(data[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)))
+                left = [data[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)]
+                kept.append(b"".join(x.decode(errors="ignore").encode() for x in left) if characters else b"".join(left))
                 removed.append(int((end - start).sum())), count.append(len(start))
             more = [pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, removed, count))]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *more], [*names, "kept", "n_bytes", "n_removed", "n_spans"])
