@@ -7,16 +7,38 @@ last return the columns of ``documents``.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import minhash, mixing, packing, suffix_dedup, toxicity
-from tessera.llm.common import WORD, numbered, prepare, saved
+from tessera.llm.common import WORD, deleted, noted, numbered, prepare, saved
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: Folders of the tables that the last stage of a Spark application has left.
+_LEFT: dict[str, list[str]] = {}
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage that first deletes what the stage before it left: its result is written by now, unless ``docs`` still reads from there."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        left = _LEFT.pop(spark.sparkContext.applicationId, [])
+        if left and not any("/tables/" in x for x in docs.inputFiles()):
+            deleted(spark, left)
+        with noted() as made:
+            out = f(spark, docs, sf_dir)
+        _LEFT[spark.sparkContext.applicationId] = made
+        return out
+
+    return run
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with ``key``, a hash of the whole row, its nulls told apart: rows of one key are equal."""
     return docs.select(*COLUMNS, F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]).alias("key"))
@@ -32,12 +54,14 @@ def _taken(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select(COLUMNS)
 
 
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more go. The model is fitted on this stage's labelled rows, a fifth held out."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score_texts(docs.select(COLUMNS), model).where("score < 0.5").select(COLUMNS)
 
 
+@_stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows linked at similarity 0.8 on five-word shingles, one with the least id stays; rows without words all stay."""
     keyed = _keyed(docs)
@@ -46,13 +70,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return _taken(keyed, kept.select("key", "m", F.when(F.col("n_shingles") > 0, F.lit(1).cast("long")).otherwise(F.col("m")).alias("copies")))
 
 
+@_stage
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by a 100-byte string that starts earlier are cut out; characters cut in half go with them."""
-    cut = suffix_dedup.cut_repeats(docs.select(COLUMNS))
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.regexp_replace(F.try_validate_utf8(F.make_valid_utf8(F.col("kept").cast("string"))), "�", ""))
+    cut = suffix_dedup.cut_repeats(docs.select(COLUMNS), characters=True)
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept").cast("string"))
     return cut.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(COLUMNS)
 
 
+@_stage
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: 150 % of all words, sources weighing 5, 2, 1, at most twice each."""
     keyed = _keyed(docs)
@@ -60,6 +86,7 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return _taken(keyed, mixed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.sum("copies").alias("copies")))
 
 
+@_stage
 def pack_bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces in bins of 2,048 words, no two of one text in a bin."""
     return packing.pack_documents(docs)
