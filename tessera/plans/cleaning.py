@@ -5,15 +5,12 @@ from __future__ import annotations
 # The script blocks counted by the language detector (name, first and last code point), and its languages.
 SCRIPTS = [
     ("Devanagari", 0x0900, 0x097F), ("Bengali", 0x0980, 0x09FF), ("Gurmukhi", 0x0A00, 0x0A7F), ("Gujarati", 0x0A80, 0x0AFF), ("Odia", 0x0B00, 0x0B7F),
-    ("Tamil", 0x0B80, 0x0BFF), ("Telugu", 0x0C00, 0x0C7F), ("Kannada", 0x0C80, 0x0CFF), ("Malayalam", 0x0D00, 0x0D7F), ("Arabic", 0x0600, 0x06FF),
+    ("Tamil", 0x0B80, 0x0BFF), ("Telugu", 0x0C00, 0x0C7F), ("Kannada", 0x0C80, 0x0CFF), ("Malayalam", 0x0D00, 0x0D7F), ("Arabic", 0x0600, 0x06FF), ("Arabic", 0x0750, 0x077F),
 ]
 # English stop-words of the quality rules.
-STOP_WORDS = ["the", "be", "to", "of", "and", "that", "have", "with"]
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
-IP = r"\b[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}\b"
-ID12 = r"\b[0-9]{4} [0-9]{4} [0-9]{4}\b"
-NAME = r"\b(Mr|Mrs|Ms|Dr|Shri|Smt)[.]? [A-Z][a-z]+( [A-Z][a-z]+)?"
-PHONE = r"[+]91[- ]?[0-9]{10}\b"
+STOP_WORDS = ["the", "be", "to", "of", "and", "a", "in", "that", "have", "i", "it", "for", "not", "on", "with", "as"]
+# The symbols counted by the quality rules.
+SYMBOLS = "[#•·►▪●…]"
 
 
 def text_stats(e) -> str:
@@ -35,23 +32,14 @@ def normalize_text(e) -> str:
     return f"select doc_id, {e.sha(x)} as content_hash, cast(length({x}) as bigint) as chars, ({x}) <> text as changed from {{documents}}"
 
 
-def pii_mask(e) -> str:
-    steps = [("email", EMAIL), ("phone", PHONE), ("ip", IP), ("id12", ID12), ("name", NAME)]
-    cols, x = [], "text"
-    for label, pattern in steps:
-        cols.append(f"{e.count(x, pattern)} as n_{label}")
-        x = e.replace(x, pattern, f"[{label.upper()}]")
-    return f"select doc_id, {', '.join(cols)}, {e.sha(x)} as masked_hash from {{documents}}"
-
-
 def _metrics(e) -> str:
-    w, lines = e.words("text"), e.lines("text")
+    w, lines = e.words("text"), e.raw_lines("text")
     stops = ", ".join(f"'{s}'" for s in STOP_WORDS)
     return f"""select doc_id, source, lang, text, {e.size('w')} as n_words,
         case when {e.size('w')} > 0 then cast({e.total(e.map('w', 'v', 'cast(length(v) as bigint)'))} as double) / {e.size('w')} else 0.0 end as mean_word,
-        case when {e.size('w')} > 0 then cast({e.count('text', '#|[.]{3}|…')} as double) / {e.size('w')} else 0.0 end as symbol_ratio,
+        case when {e.size('w')} > 0 then cast({e.count('text', SYMBOLS)} as double) / {e.size('w')} else 0.0 end as symbol_ratio,
         case when {e.size('l')} > 0 then 1.0 - cast({e.size(e.distinct('l'))} as double) / {e.size('l')} else 0.0 end as dup_lines,
-        case when {e.size('l')} > 0 then cast({e.size(e.where('l', 'v', "substr(v, 1, 1) in ('-', '*', '•')"))} as double) / {e.size('l')} else 0.0 end as bullet_lines,
+        case when {e.size('l')} > 0 then cast({e.size(e.where('l', 'v', "substr(ltrim(v), 1, 1) in ('-', '*')"))} as double) / {e.size('l')} else 0.0 end as bullet_lines,
         {e.size(e.where(e.head('w', 200), 'v', f'lower(v) in ({stops})'))} as stops
         from (select *, {e.once(lines)} as l from (select *, {e.once(w)} as w from {{documents}}) s) t"""
 
@@ -74,12 +62,15 @@ def rule_failures(e) -> str:
 
 
 def _scripts(e) -> str:
-    counts = ", ".join(f"{e.count('text', f'[{chr(a)}-{chr(b)}]')} as {n}" for n, a, b in SCRIPTS)
+    blocks: dict[str, str] = {}
+    for n, a, b in SCRIPTS:
+        blocks[n] = blocks.get(n, "") + f"{chr(a)}-{chr(b)}"
+    counts = ", ".join(f"{e.count('text', f'[{x}]')} as {n}" for n, x in blocks.items())
     return f"select doc_id, lang, {counts}, {e.count('text', '[A-Za-z]')} as Latin from {{documents}}"
 
 
 def script_detect(e) -> str:
-    names = [n for n, _, _ in SCRIPTS] + ["Latin"]
+    names = [*dict.fromkeys(n for n, _, _ in SCRIPTS), "Latin"]
     top = f"greatest({', '.join(names)})"
     total = " + ".join(names)
     first = " ".join(f"when {n} = {top} then '{n}'" for n in names)
@@ -176,4 +167,4 @@ def conversation_spans(e) -> str:
     return f"select conv_id, cast(count(*) as bigint) as spans, cast(sum(case when role = 'assistant' then {e.size(e.words('text'))} else 0 end) as bigint) as loss_words, cast(sum({e.size(e.words('text'))}) as bigint) as words, {e.sha(e.string('text', 'turn', '|'))} as record_hash from {{conversations}} group by conv_id having count(case when role = 'assistant' then 1 end) > 0"
 
 
-QUERIES = {f.__name__: f for f in (text_stats, normalize_text, pii_mask, quality_metrics, quality_filter, rule_failures, script_detect, claimed_vs_detected, exact_dedup, minhash_signatures, lsh_buckets, jaccard_of_candidates, decontaminate_8gram, survivors, safety_drop, cleaning_funnel, source_manifest, fertility, html_prune, conversation_spans)}
+QUERIES = {f.__name__: f for f in (text_stats, normalize_text, quality_metrics, quality_filter, rule_failures, script_detect, claimed_vs_detected, exact_dedup, minhash_signatures, lsh_buckets, jaccard_of_candidates, decontaminate_8gram, survivors, safety_drop, cleaning_funnel, source_manifest, fertility, html_prune, conversation_spans)}

@@ -12,6 +12,10 @@ class Spark:
     def lines(self, x: str) -> str:
         return rf"filter(transform(split({x}, '\\n'), l -> trim(l)), l -> l <> '')"
 
+    def raw_lines(self, x: str) -> str:
+        """Lines as they are, without blank ones."""
+        return rf"filter(split({x}, '\\n'), l -> trim(l) <> '')"
+
     def grams(self, words: str, n: int) -> str:
         """Joined n-grams of a list of words; of fewer words, none."""
         return f"case when size({words}) >= {n} then transform(sequence(1, size({words}) - {n - 1}), i -> array_join(slice({words}, i, {n}), ' ')) else cast(array() as array<string>) end"
@@ -101,6 +105,9 @@ class Duck(Spark):
     def lines(self, x: str) -> str:
         return f"list_filter(list_transform(string_split({x}, chr(10)), lambda l: trim(l, ' ')), lambda l: l <> '')"
 
+    def raw_lines(self, x: str) -> str:
+        return f"list_filter(string_split({x}, chr(10)), lambda l: trim(l, ' ') <> '')"
+
     def grams(self, words: str, n: int) -> str:
         return f"list_transform(range(1, len({words}) - {n - 2}), lambda i: array_to_string(list_slice({words}, i, i + {n - 1}), ' '))"
 

@@ -8,8 +8,9 @@ def _steps(e) -> str:
 
 
 def ledger_contiguity(e) -> str:
-    """Gaps, repeats and disorder of a branch's steps, one row of lag a record."""
-    return f"select branch, cast(count(case when d = 0 then 1 end) as bigint) as repeats, cast(count(case when d > 50 then 1 end) as bigint) as gaps, cast(count(case when d < 0 then 1 end) as bigint) as disorder from (select branch, step - lag(step) over (partition by branch order by step) as d from ({_steps(e)}) s) t group by branch"
+    """Of each branch's records in order of arrival: steps that come again, that come late, and steps missing between its ends."""
+    ordered = "select branch, step, step - lag(step) over (partition by branch order by ts, step) as d from (select cast(event_id as bigint) as step, cast(user_id as bigint) as branch, ts from {events}) s"
+    return f"select branch, cast(count(*) - count(distinct step) as bigint) as repeats, cast(max(step) - min(step) + 1 - count(distinct step) as bigint) as gaps, cast(count(case when d < 0 then 1 end) as bigint) as disorder from ({ordered}) t group by branch"
 
 
 def replay_state(e) -> str:
@@ -62,17 +63,6 @@ def _scores(e) -> str:
 
 
 def selection_decisions(e) -> str:
-    """Accept above the upper quantile of scores, defer above the lower, else reject; sources of the reserve are never refused."""
-    cut = f"select {e.quantile('score', 0.6)} as hi, {e.quantile('score', 0.35)} as lo from ({_scores(e)}) s"
-    ruled = f"case when s.score > c.hi then 'accept' when s.score > c.lo then 'defer' else 'reject' end"
-    return f"select d.doc_id, {ruled} as would_be, case when d.source in ('src0', 'src1') then 'accept' else {ruled} end as decision from {{documents}} d join ({_scores(e)}) s on s.doc_id = d.doc_id cross join ({cut}) c where abs(s.score - c.hi) > 1e-9 and abs(s.score - c.lo) > 1e-9"
-
-
-def selection_audit(e) -> str:
-    return f"select d.source, {', '.join(f'cast(count(case when x.decision = {chr(39)}{k}{chr(39)} then 1 end) as bigint) as {k}s' for k in ('accept', 'defer', 'reject'))}, cast(count(case when x.decision <> x.would_be then 1 end) as bigint) as overrides from {{documents}} d join ({selection_decisions(e)}) x on x.doc_id = d.doc_id group by d.source"
-
-
-def selection_decisions_all(e) -> str:
     """A decision for every document, one that shares no word with the benchmark scoring 0; a score at a threshold passes it.
 
     Scores and thresholds are rounded, so that both engines compare the same numbers.
@@ -83,8 +73,8 @@ def selection_decisions_all(e) -> str:
     return f"select s.doc_id, s.source, {ruled} as would_be, case when s.source in ('src0', 'src1') then 'accept' else {ruled} end as decision from ({scored}) s cross join ({cut}) c"
 
 
-def selection_audit_all(e) -> str:
-    return f"select source, {', '.join(f'cast(count(case when decision = {chr(39)}{k}{chr(39)} then 1 end) as bigint) as {k}s' for k in ('accept', 'defer', 'reject'))}, cast(count(case when decision <> would_be then 1 end) as bigint) as overrides from ({selection_decisions_all(e)}) x group by source"
+def selection_audit(e) -> str:
+    return f"select source, {', '.join(f'cast(count(case when decision = {chr(39)}{k}{chr(39)} then 1 end) as bigint) as {k}s' for k in ('accept', 'defer', 'reject'))}, cast(count(case when decision <> would_be then 1 end) as bigint) as overrides from ({selection_decisions(e)}) x group by source"
 
 
 def label_centroids(e) -> str:
@@ -97,4 +87,4 @@ def nearest_to_queries(e) -> str:
     return f"select query, vec_id, rank from (select q.vec_id as query, v.vec_id, cast(row_number() over (partition by q.vec_id order by round({cos}, 9) desc, v.vec_id) as bigint) as rank from {{embeddings}} q join {{embeddings}} v on q.label = v.label and q.vec_id <> v.vec_id where q.vec_id % 100 = 0) t where rank <= 5"
 
 
-QUERIES = {f.__name__: f for f in (ledger_contiguity, replay_state, cumulative_floor, resume_equivalence, fork_lineage, learning_trace, json_ledger, throughput, token_profile, selection_decisions, selection_audit, selection_decisions_all, selection_audit_all, label_centroids, nearest_to_queries)}
+QUERIES = {f.__name__: f for f in (ledger_contiguity, replay_state, cumulative_floor, resume_equivalence, fork_lineage, learning_trace, json_ledger, throughput, token_profile, selection_decisions, selection_audit, label_centroids, nearest_to_queries)}

@@ -27,7 +27,7 @@ TEXTS = ["call 98765 43210 or 9876543210", "+91 98765-43210, +919876543210", "x1
 
 def test_masks_as_the_reference(spark, tmp_path):
     spark.createDataFrame(list(enumerate(TEXTS)) + [(99, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    out = {r[0]: tuple(r)[1:] for r in QUERIES["pii_mask_reference"](spark, str(tmp_path)).collect()}
+    out = {r[0]: tuple(r)[1:] for r in QUERIES["pii_mask"](spark, str(tmp_path)).collect()}
     assert len(out) == len(TEXTS) + 1 and out[99][-1] is None
     for i, t in enumerate(TEXTS):
         assert out[i] == masked(t), t

@@ -7,7 +7,7 @@ from tessera.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = ["text_stats", "normalize_text", "pii_mask", "quality_filter", "script_detect", "exact_dedup", "decontaminate_8gram", "safety_drop", "source_manifest", "html_prune", "conversation_spans", "content_split", "band_assign", "pack_concat", "span_clip", "truncation_collisions", "weighted_median_bytes", "noise_floor", "monotonicity_violations", "ledger_contiguity", "resume_equivalence", "selection_decisions", "pricing_summary"]
+FAST = ["text_stats", "normalize_text", "quality_filter", "script_detect", "exact_dedup", "decontaminate_8gram", "safety_drop", "source_manifest", "html_prune", "conversation_spans", "content_split", "band_assign", "pack_concat", "span_clip", "truncation_collisions", "weighted_median_bytes", "noise_floor", "monotonicity_violations", "ledger_contiguity", "resume_equivalence", "selection_decisions", "pricing_summary"]
 
 
 @pytest.fixture(scope="module")
