@@ -14,6 +14,7 @@ from .minhash import op10_minhash
 from .mixing import op9_pivotal
 from .packing import op7_best_fit
 from .sharding import op2_rendezvous
+from .sql import SQL as STATED
 from .suffix_dedup import op5_suffix_array
 from .toxicity import op1_toxicity
 
@@ -22,6 +23,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_toxicity, op2_rendezvous, op3_cover_tree, op4_longest_match, op5_suffix_array, op6_gif, op7_best_fit, op8_kneser_ney, op9_pivotal, op10_minhash)
 }
 
-#: No operator here has SQL. tests/llm holds the operators to brute force or examples, and of the queries as registered
-#: op6_gif and op10_minhash.
-SQL: dict[str, str] = {}
+#: op3, op5 and op10 have SQL. tests/llm holds the other operators to brute force or examples.
+SQL: dict[str, str] = dict(STATED)
