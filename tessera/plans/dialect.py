@@ -61,6 +61,10 @@ class Spark:
     def replace(self, x: str, pattern: str, to: str) -> str:
         return f"regexp_replace({x}, r'{pattern}', '{to}')"
 
+    def group(self, n: int) -> str:
+        """What group ``n`` matched, in the replacement of ``replace``."""
+        return f"${n}"
+
     def like(self, x: str, pattern: str) -> str:
         return f"rlike({x}, r'{pattern}')"
 
@@ -150,6 +154,9 @@ class Duck(Spark):
     def replace(self, x: str, pattern: str, to: str) -> str:
         return f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
 
+    def group(self, n: int) -> str:
+        return rf"\{n}"
+
     def like(self, x: str, pattern: str) -> str:
         return f"regexp_matches({x}, '{pattern}')"
 

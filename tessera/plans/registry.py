@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cleaning, collisions, ledgers, relational, rollups, shards, study
+from . import cleaning, collisions, languages, ledgers, relational, rollups, scheduling, shards, study, windows
 from .dialect import Duck, Spark
 from .python_queries import PYTHON_QUERIES
 
@@ -29,6 +29,6 @@ def spark_query(text: Callable[[Spark], str]) -> Callable[[SparkSession, str], D
     return run
 
 
-TEXTS = {name: f for module in (cleaning, shards, collisions, study, ledgers, relational, rollups) for name, f in module.QUERIES.items()}
+TEXTS = {name: f for module in (cleaning, shards, collisions, study, ledgers, relational, rollups, windows, languages, scheduling) for name, f in module.QUERIES.items()}
 QUERIES = {name: spark_query(f) for name, f in TEXTS.items()} | PYTHON_QUERIES
 SQL = {name: TABLE.sub(r"\1", f(Duck())) for name, f in TEXTS.items()}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .shards import running
 from .study import _study, noise_floor
 
 # Chat markers that don't belong in text, in any case.
@@ -66,7 +67,7 @@ def shared_steps(e) -> str:
 def head_split(e) -> str:
     """Validation is the first 5 % of a source's words in order of id: documents wholly or in part below that offset."""
     words = f"select doc_id, source, {e.size(e.words('text'))} as n from {{documents}}"
-    placed = f"select source, n, sum(n) over (partition by source order by doc_id rows unbounded preceding) - n as start, sum(n) over (partition by source) as total from ({words}) w"
+    placed = f"select source, n, off as start, total from ({running(words, ['source'], 'n')}) t"
     return f"select source, cast(count(*) as bigint) as docs, cast(count(case when start * 20 < total then 1 end) as bigint) as validation, cast(count(case when start * 20 < total and (start + n) * 20 > total then 1 end) as bigint) as leaking from ({placed}) p group by source"
 
 

@@ -45,8 +45,25 @@ def reserved_docs(e) -> str:
     return f"select doc_id, band, band = 'B5' or (lane in ('src0', 'src1') and band in ('B3', 'B4')) as reserved from ({_banded(e)}) b"
 
 
+BLOCK = 1000
+
+
+def running(rows: str, keys: list[str], value: str, block: str = f"coalesce(cast(floor(doc_id / {BLOCK}) as bigint), cast(-1 as bigint))", order: str = "doc_id") -> str:
+    """``rows`` with off, the sum of ``value`` over the rows before in their group of ``keys``, and total, the group's.
+
+    Sums are taken by block first and placed over the blocks; rows are only put in order within theirs, so no task sees a
+    whole group. ``block`` rises with ``order``; keys may be null.
+    """
+    by = ", ".join(keys)
+    sums = f"select {by}, {block} as block, sum({value}) as part from ({rows}) r group by {by}, {block}"
+    placed = f"select {by}, block, part, sum(part) over (partition by {by} order by block) - part as before, sum(part) over (partition by {by}) as total from ({sums}) s"
+    same = " and ".join(f"r.{k} is not distinct from p.{k}" for k in keys)
+    inside = f"sum({value}) over (partition by {', '.join(f'r.{k}' for k in keys)}, p.block order by r.{order} rows unbounded preceding)"
+    return f"select r.*, cast(p.before + {inside} - {value} as bigint) as off, cast(p.total as bigint) as total from (select *, {block} as block_of from ({rows}) x) r join ({placed}) p on r.block_of = p.block and {same}"
+
+
 def _offsets(e) -> str:
-    return f"select doc_id, lane, split, n, cast(coalesce(sum(n) over (partition by lane, split order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as off from ({_docs(e)}) d"
+    return f"select doc_id, lane, split, n, off from ({running(_docs(e), ['lane', 'split'], 'n')}) o"
 
 
 def shard_offsets(e) -> str:
@@ -55,7 +72,7 @@ def shard_offsets(e) -> str:
 
 def budget_prefix(e) -> str:
     """Rows of a source until its budget of words is met, the crossing row included."""
-    return f"select doc_id, lane, n from (select *, sum(n) over (partition by lane order by doc_id rows unbounded preceding) as run from ({_docs(e)}) d) t where run - n < 4000"
+    return f"select doc_id, lane, n from ({running(_docs(e), ['lane'], 'n')}) t where off < 4000"
 
 
 def lane_rollup(e) -> str:
@@ -120,7 +137,9 @@ def strided_sample(e) -> str:
 
 
 def tail_split(e) -> str:
-    return "select source, cast(count(case when rn > 0.8 * n then 1 end) as bigint) as validation, cast(count(*) as bigint) as docs from (select source, row_number() over (partition by source order by doc_id) as rn, count(*) over (partition by source) as n from {documents}) t group by source"
+    """The last fifth of a source's documents in order of id is validation."""
+    rows = "select doc_id, source, cast(1 as bigint) as one from {documents}"
+    return f"select source, cast(count(case when off + 1 > 0.8 * total then 1 end) as bigint) as validation, cast(count(*) as bigint) as docs from ({running(rows, ['source'], 'one')}) t group by source"
 
 
 QUERIES = {f.__name__: f for f in (content_split, split_overlap, band_thresholds, band_assign, reserved_docs, shard_offsets, budget_prefix, lane_rollup, firewall, pack_concat, packing_report, pack_long_doc, span_clip, segment_targets, attention_pairs, deterministic_draws, strided_sample, tail_split)}
