@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import text
+from tessera.shipping import ship
+from tessera.sources import files
+
 #: The reference's patterns in its order. (?U) makes \d, \w, \s and \b Unicode, as in Python; PHONE looks behind, which
 #: DuckDB's patterns can't.
 PII = [
@@ -24,4 +31,84 @@ def pii_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[f"n_{label}" for label, _ in PII], F.sha2("text", 256).alias("masked_hash"))
 
 
-PYTHON_QUERIES: dict = {f.__name__: f for f in (pii_mask,)}
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def unicode_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in Unicode's composed form: the hash, and whether that changed them."""
+    ship(spark)
+    t = text.nfc(F.col("text"))
+    return _documents(spark, sf_dir).select("doc_id", F.sha2(t, 256).alias("nfc_hash"), (t != F.col("text")).alias("changed"))
+
+
+def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole of cleaning: joiners and chat markers counted, then the cleaned text's hash and length; an empty one is to be dropped."""
+    ship(spark)
+    out = _documents(spark, sf_dir).select("doc_id", "text", text.cleaned(F.col("text")).alias("clean"))
+    out = out.select("doc_id", "text", text.without_ghosts(F.col("text"), F.col("clean")).alias("clean"))
+    marks = F.regexp_count("text", F.lit(r"[\x{200C}\x{200D}]")).cast("long").alias("joiners"), F.regexp_count("text", F.lit(text.GHOST)).cast("long").alias("markers")
+    return out.select("doc_id", *marks, F.sha2("clean", 256).alias("content_hash"), F.length("clean").cast("long").alias("chars"), (F.length("clean") < 1).alias("dropped"))
+
+
+def checksum_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of words that become one in windows whose last byte is a checksum of what is cut."""
+    words = F.explode(F.filter(F.split("text", r"[ \t\n\r\f\x0B]+"), lambda w: w != ""))
+    types = _documents(spark, sf_dir).select(F.col("lang").alias("lane"), words.alias("w")).groupBy("lane", "w").agg(F.count(F.lit(1)).alias("n"))
+    forms = [F.struct(F.lit(name).alias("scheme"), F.lit(k).alias("bytes"), f(F.col("w"), k).alias("k")) for k in (8, 16, 32) for name, f in (("overflow_hash", text.overflow_checksum), ("both_ends_hash", text.ends_checksum))]
+    groups = types.select("lane", "n", F.explode(F.array(*forms)).alias("f")).groupBy("lane", "f.scheme", "f.bytes", "f.k").agg(F.count(F.lit(1)).alias("types"), F.sum("n").alias("n")).where("types > 1")
+    return groups.groupBy("lane", "scheme", "bytes").agg(F.count(F.lit(1)).alias("colliding_groups"), F.sum("types").alias("colliding_types"), F.sum("n").alias("occurrences"))
+
+
+def pca_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors along the two axes of greatest variance, the largest weight of an axis being positive; those that are null or not finite are left out."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    whole = rows.where(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    points = whole.select("vec_id", array_to_vector("v").alias("p"))
+    model = PCA(k=2, inputCol="p", outputCol="q").fit(points)
+    axes = model.pc.toArray().T
+    means = points.select(Summarizer.mean(F.col("p")).alias("m")).head()["m"].toArray()
+    signs = [1.0 if max(a, key=abs) > 0 else -1.0 for a in axes.tolist()]
+    shift = [float(a @ means) for a in axes]
+    xy = vector_to_array("q")
+    return model.transform(points).select("vec_id", *[F.round((xy[i] - shift[i]) * signs[i], 4).alias(n) for i, n in enumerate(("x", "y"))])
+
+
+def json_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as JSON lines and read again."""
+    path, docs = files.scratch(spark, "jsonl"), _documents(spark, sf_dir)
+    files.append_json_lines(docs, path)
+    return files.read_json_lines(spark, path, docs.schema).select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_hash"))
+
+
+def lane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written by source; of two sources, what is read back."""
+    path = files.scratch(spark, "lanes")
+    files.write_lanes(_documents(spark, sf_dir).withColumn("lane", F.col("source")), path, "lane")
+    rows = files.read_lane(spark, path, "doc_id long, text string", ["src0", "src3"])
+    return rows.groupBy("lane").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).cast("long").alias("chars"), F.max("doc_id").alias("last_id"))
+
+
+def capped_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct texts of 30 characters or more by source, until 20,000 bytes are met."""
+    return files.capped(_documents(spark, sf_dir), "source", "doc_id", "text", 20000, 30).select("lane", "key", "start", "size")
+
+
+def uint16_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word lengths as 16-bit numbers in bytes, read back."""
+    sizes = F.transform(F.filter(F.split("text", r"[ \t\n\r\f\x0B]+"), lambda w: w != ""), lambda w: F.length(w))
+    out = _documents(spark, sf_dir).select("doc_id", files.to_uint16(sizes).alias("data"))
+    numbers = files.from_uint16(F.col("data"))
+    return out.select("doc_id", F.octet_length("data").cast("long").alias("bytes"), F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+PYTHON_QUERIES: dict = {f.__name__: f for f in (pii_mask, unicode_nfc, clean_text, checksum_collisions, pca_2d, json_lines_round_trip, lane_files, capped_lanes, uint16_round_trip)}
+
+_SIZES = "list_transform(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> ''), lambda w: length(w))"
+PYTHON_SQL: dict[str, str] = {
+    "unicode_nfc": "select doc_id, sha256(nfc_normalize(text)) as nfc_hash, nfc_normalize(text) <> text as changed from documents",
+    "json_lines_round_trip": "select doc_id, lang, source, n_chars, sha256(text) as text_hash from documents",
+    "lane_files": "select source as lane, count(*) as docs, cast(sum(length(text)) as bigint) as chars, max(doc_id) as last_id from documents where source in ('src0', 'src3') group by source",
+    "capped_lanes": "select lane, key, start, size from (select *, cast(sum(size) over (partition by lane order by key, text) - size as bigint) as start from (select source as lane, min(doc_id) as key, trim(replace(text, chr(13), ''), ' ') as text, cast(strlen(trim(replace(any_value(text), chr(13), ''), ' ')) as bigint) as size from documents where length(trim(replace(text, chr(13), ''), ' ')) >= 30 group by 1, 3) t) u where start < 20000",
+    "uint16_round_trip": f"select doc_id, cast(2 * len({_SIZES}) as bigint) as bytes, cast(coalesce(list_sum({_SIZES}), 0) as bigint) as total from documents",
+}
