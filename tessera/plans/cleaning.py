@@ -99,17 +99,18 @@ def _signature(e, n: int) -> str:
 
 
 def minhash_signatures(e) -> str:
-    return _signature(e, 16)
+    return _signature(e, 64)
 
 
 def _bands(e) -> str:
-    rows = " union all ".join(f"select doc_id, {b} as band, concat_ws(',', m{2 * b}, m{2 * b + 1}, {', '.join(f'm{i}' for i in (8 + b % 4, 12 + b % 4))}) as bucket from ({_signature(e, 16)}) g" for b in range(4))
-    return f"select distinct band, bucket, doc_id from ({rows}) b"
+    """Eight bands of eight least hashes, spread from one row a document."""
+    ids = ", ".join(f"concat('{b}:', concat_ws(',', {', '.join(f'm{8 * b + i}' for i in range(8))}))" for b in range(8))
+    return f"select doc_id, {e.each(e.list(ids))} as bucket from ({_signature(e, 64)}) g"
 
 
 def lsh_buckets(e) -> str:
     """Members beside the first of each shared bucket: linear in the members, where all pairs would not be."""
-    return f"select distinct hub, doc_id from (select doc_id, min(doc_id) over (partition by band, bucket) as hub from ({_bands(e)}) c) t where hub < doc_id"
+    return f"select distinct hub, doc_id from (select doc_id, min(doc_id) over (partition by bucket) as hub from ({_bands(e)}) c) t where hub < doc_id"
 
 
 def jaccard_of_candidates(e) -> str:

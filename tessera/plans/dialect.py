@@ -27,6 +27,9 @@ class Spark:
         """``x`` as a column of its own: a generator keeps the optimiser from computing it anew at each use."""
         return f"explode(array({x}))"
 
+    def list(self, items: str) -> str:
+        return f"array({items})"
+
     def size(self, x: str) -> str:
         return f"cast(size({x}) as bigint)"
 
@@ -121,6 +124,9 @@ class Duck(Spark):
     def once(self, x: str) -> str:
         return x
 
+    def list(self, items: str) -> str:
+        return f"[{items}]"
+
     def size(self, x: str) -> str:
         return f"len({x})"
 

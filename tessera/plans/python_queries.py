@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.operators.greedy import keep_first
 from tessera.shipping import ship
 from tessera.sources import files
 
+from .cleaning import _bands
+from .dialect import Duck, Spark
+
 #: The reference's patterns in its order. (?U) makes \d, \w, \s and \b Unicode, as in Python; PHONE looks behind, which
 #: DuckDB's patterns can't.
 PII = [
@@ -102,10 +106,36 @@ def uint16_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.octet_length("data").cast("long").alias("bytes"), F.aggregate(numbers, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-PYTHON_QUERIES: dict = {f.__name__: f for f in (pii_mask, unicode_nfc, clean_text, checksum_collisions, pca_2d, json_lines_round_trip, lane_files, capped_lanes, uint16_round_trip)}
+def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in order of id: kept, an exact copy of a kept one, or near to a kept one, that is in a bucket of its signature.
+
+    kept_by is the document that rules it out, a kept one itself. Only kept documents rule others out, so what is near to a dropped one alone stays. Texts without words have no
+    signature and only meet exact copies. Ids are distinct and not null.
+    """
+    bands = spark.sql(_bands(Spark()).replace("{documents}", "{docs}"), docs=_documents(spark, sf_dir))
+    chosen = keep_first(bands.select(F.col("doc_id").alias("id"), F.md5("bucket").alias("key"))).withColumnRenamed("id", "doc_id")
+    rows = _documents(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("hash")).join(chosen, "doc_id", "left")
+    first = rows.where("kept_by is null").groupBy("hash").agg(F.min("doc_id").alias("first"))
+    out = rows.join(first, "hash", "left")
+    copy = F.col("first") < F.col("doc_id")
+    verdict = F.when(copy, "exact").when(F.col("kept_by").isNotNull(), "near").otherwise("kept")
+    return out.select("doc_id", verdict.alias("verdict"), F.when(copy, F.col("first")).otherwise(F.coalesce("kept_by", "doc_id")).alias("kept_by"))
+
+
+PYTHON_QUERIES: dict = {f.__name__: f for f in (pii_mask, greedy_dedup, unicode_nfc, clean_text, checksum_collisions, pca_2d, json_lines_round_trip, lane_files, capped_lanes, uint16_round_trip)}
 
 _SIZES = "list_transform(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> ''), lambda w: length(w))"
+_GREEDY = f"""with recursive bands as materialized (select doc_id, list(md5_number_lower(bucket)) as b from ({_bands(Duck()).replace("{documents}", "documents")}) x group by doc_id),
+    numbered as materialized (select row_number() over (order by d.doc_id) as i, d.doc_id, sha256(d.text) as hash, coalesce(b.b, []) as b from documents d left join bands b on b.doc_id = d.doc_id),
+    walk as (select cast(0 as bigint) as i, cast([] as ubigint[]) as taken, cast(null as bigint) as doc_id, false as kept
+        union all select n.i, case when list_has_any(w.taken, n.b) then w.taken else list_concat(w.taken, n.b) end, n.doc_id, not list_has_any(w.taken, n.b) from walk w join numbered n on n.i = w.i + 1),
+    owners as (select n.doc_id, n.hash, unnest(n.b) as k from numbered n join walk w on w.doc_id = n.doc_id where w.kept),
+    near as (select x.doc_id, min(o.doc_id) as kept_by from (select n.doc_id, unnest(n.b) as k from numbered n join walk w on w.doc_id = n.doc_id where not w.kept) x join owners o on o.k = x.k group by x.doc_id),
+    firsts as (select n.hash, min(n.doc_id) as first from numbered n join walk w on w.doc_id = n.doc_id where w.kept group by n.hash)
+    select n.doc_id, case when f.first < n.doc_id then 'exact' when r.doc_id is not null then 'near' else 'kept' end as verdict, case when f.first < n.doc_id then f.first else coalesce(r.kept_by, n.doc_id) end as kept_by
+    from numbered n left join near r on r.doc_id = n.doc_id left join firsts f on f.hash = n.hash"""
 PYTHON_SQL: dict[str, str] = {
+    "greedy_dedup": _GREEDY,
     "unicode_nfc": "select doc_id, sha256(nfc_normalize(text)) as nfc_hash, nfc_normalize(text) <> text as changed from documents",
     "json_lines_round_trip": "select doc_id, lang, source, n_chars, sha256(text) as text_hash from documents",
     "lane_files": "select source as lane, count(*) as docs, cast(sum(length(text)) as bigint) as chars, max(doc_id) as last_id from documents where source in ('src0', 'src3') group by source",
