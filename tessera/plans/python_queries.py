@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import text
+from tessera.functions import text, tokens
 from tessera.operators.greedy import keep_first
 from tessera.shipping import ship
 from tessera.sources import files
@@ -122,7 +122,38 @@ def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", verdict.alias("verdict"), F.when(copy, F.col("first")).otherwise(F.coalesce("kept_by", "doc_id")).alias("kept_by"))
 
 
-PYTHON_QUERIES: dict = {f.__name__: f for f in (pii_mask, greedy_dedup, unicode_nfc, clean_text, checksum_collisions, pca_2d, json_lines_round_trip, lane_files, capped_lanes, uint16_round_trip)}
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BPE tokens of every document, the kinds of token it has, and whether decoding gives the text again, white space aside."""
+    ship(spark)
+    out = _documents(spark, sf_dir).select("doc_id", "text", tokens.encode(F.col("text")).alias("ids"))
+    out = out.select("doc_id", "text", "ids", tokens.decode(F.col("ids")).alias("again"))
+    bare = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    return out.select("doc_id", F.size("ids").cast("long").alias("tokens"), F.size(F.array_distinct("ids")).cast("long").alias("token_types"), (bare("text") == bare("again")).alias("faithful"))
+
+
+def bpe_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BPE tokens a word, a character and a byte by language, over all documents; no figure below 200 words."""
+    ship(spark)
+    words = F.size(F.filter(F.split("text", r"[ \t\n\r\f\x0B]+"), lambda w: w != "")).cast("long")
+    rows = _documents(spark, sf_dir).select("lang", words.alias("w"), F.length("text").alias("c"), F.octet_length("text").alias("b"), F.size(tokens.encode(F.col("text"))).cast("long").alias("t"))
+    sums = rows.groupBy("lang").agg(*[F.sum(x).cast("long").alias(x) for x in "wcbt"])
+    return sums.select("lang", F.col("w").alias("words"), F.col("t").alias("tokens"), F.when(F.col("w") >= 200, F.round(F.col("t") / F.col("w"), 6)).alias("fertility"), F.round(F.col("c") / F.col("t"), 6).alias("chars_token"), F.round(F.col("b") / F.col("t"), 6).alias("bytes_token"))
+
+
+def span_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns encoded by themselves, so that no token straddles two roles: where each lies in its conversation, and which count for the loss."""
+    ship(spark)
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", F.size(tokens.encode(F.col("text"))).cast("long").alias("n"))
+    end = F.sum("n").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select("conv_id", "turn", (end - F.col("n")).alias("start"), end.alias("end"), (F.col("role") == "assistant").alias("loss"))
+
+
+def vocabulary_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many ids of the vocabulary are of each kind, and how long their surfaces are."""
+    return tokens.vocabulary(spark).groupBy("kind").agg(F.count(F.lit(1)).alias("ids"), F.max(F.length("surface")).cast("long").alias("longest"))
+
+
+PYTHON_QUERIES: dict = {f.__name__: f for f in (bpe_round_trip, bpe_fertility, span_tokens, vocabulary_kinds, pii_mask, greedy_dedup, unicode_nfc, clean_text, checksum_collisions, pca_2d, json_lines_round_trip, lane_files, capped_lanes, uint16_round_trip)}
 
 _SIZES = "list_transform(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> ''), lambda w: length(w))"
 _GREEDY = f"""with recursive bands as materialized (select doc_id, list(md5_number_lower(bucket)) as b from ({_bands(Duck()).replace("{documents}", "documents")}) x group by doc_id),
