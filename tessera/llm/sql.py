@@ -41,4 +41,8 @@ links as (select x.id as a, y.id as b from items x join items y on x.g = y.g and
 nodes as (select id from worded), sizes as (select id, count(*) as n from shingles group by id), {_REACH}
 select c.id as doc_id, coalesce(s.n, 0) as n_shingles, c.component_id, c.id = c.component_id as kept from least c left join sizes s on s.id = c.id"""
 
-SQL = {"op3_cover_tree": OP3, "op5_suffix_array": OP5, "op10_minhash": OP10}
+OP11 = r"""select doc_id, min(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+    row_number() over (partition by t order by doc_id nulls last) = 1 as kept, sha256(t) as text_sha256
+from (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents) d"""
+
+SQL = {"op11_content_sort": OP11, "op3_cover_tree": OP3, "op5_suffix_array": OP5, "op10_minhash": OP10}
