@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bit_slices import op13_bit_slices
 from .content_sort import op11_content_sort
 from .cover_tree import op3_cover_tree
 from .gif import op6_gif
@@ -21,7 +22,7 @@ from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_rendezvous, op3_cover_tree, op4_longest_match, op5_suffix_array, op6_gif, op7_best_fit, op8_kneser_ney, op9_pivotal, op10_minhash, op11_content_sort)
+    for f in (op1_toxicity, op2_rendezvous, op3_cover_tree, op4_longest_match, op5_suffix_array, op6_gif, op7_best_fit, op8_kneser_ney, op9_pivotal, op10_minhash, op11_content_sort, op13_bit_slices)
 }
 
 #: op3, op5 and op10 have SQL. tests/llm holds the other operators to brute force or examples.

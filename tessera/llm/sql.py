@@ -45,4 +45,15 @@ OP11 = r"""select doc_id, min(doc_id) over (partition by t) as keep_id, count(*)
     row_number() over (partition by t order by doc_id nulls last) = 1 as kept, sha256(t) as text_sha256
 from (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents) d"""
 
-SQL = {"op11_content_sort": OP11, "op3_cover_tree": OP3, "op5_suffix_array": OP5, "op10_minhash": OP10}
+# CRC-32 of the decimal digits: each code is followed by eight steps of the shift register.
+OP13 = """with hashed as (select *, xor(list_reduce(list_prepend(cast(4294967295 as bigint), flatten(list_transform(string_split(cast(sale_id as varchar), ''),
+        lambda c: [cast(unicode(c) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, x: case when x >= 0 then xor(a, x) when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end), 4294967295) % 5 = 0 as one from sale_lines),
+grouped as (select case when one then -1 else vendor_id end as vendor_id, cast(case when one then -1 else coalesce(item_id % 5, -1) end as bigint) as part,
+    cast(case when one then -1 else coalesce(100 * year(shipped_at) + month(shipped_at), -1) end as bigint) as month, sale_id, cast(line_no as bigint) as line_no, cast(quantity as bigint) as quantity,
+    cast(floor(100 * discount + 0.5) as bigint) as percent, cast(floor(100 * amount + 0.5) as bigint) as amount_cents, cast(floor(quantity / 10) as bigint) as tens from (select * replace (sale_id is not null and one as one) from hashed) h),
+placed as (select *, row_number() over (partition by vendor_id, part, month order by tens desc nulls last, percent nulls last, sale_id nulls last, line_no nulls last, quantity nulls last, amount_cents nulls last) as pos,
+    count(*) over (partition by vendor_id, part, month, tens, percent) as tied from grouped)
+select vendor_id, part, month, pos, pos as place, sale_id, line_no, quantity, percent, amount_cents, tied from placed where pos <= 2"""
+
+SQL = {"op13_bit_slices": OP13, "op11_content_sort": OP11, "op3_cover_tree": OP3, "op5_suffix_array": OP5, "op10_minhash": OP10}
