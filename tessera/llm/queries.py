@@ -19,10 +19,11 @@ from .sharding import op2_rendezvous
 from .sql import SQL as STATED
 from .suffix_dedup import op5_suffix_array
 from .toxicity import op1_toxicity
+from .wand import op12_wand
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_rendezvous, op3_cover_tree, op4_longest_match, op5_suffix_array, op6_gif, op7_best_fit, op8_kneser_ney, op9_pivotal, op10_minhash, op11_content_sort, op13_bit_slices)
+    for f in (op1_toxicity, op2_rendezvous, op3_cover_tree, op4_longest_match, op5_suffix_array, op6_gif, op7_best_fit, op8_kneser_ney, op9_pivotal, op10_minhash, op11_content_sort, op12_wand, op13_bit_slices)
 }
 
 #: op3, op5 and op10 have SQL. tests/llm holds the other operators to brute force or examples.

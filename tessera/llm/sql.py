@@ -45,6 +45,17 @@ OP11 = r"""select doc_id, min(doc_id) over (partition by t) as keep_id, count(*)
     row_number() over (partition by t order by doc_id nulls last) = 1 as kept, sha256(t) as text_sha256
 from (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents) d"""
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+OP12 = f"""with listed as (select doc_id, row_number() over () as row, {_TERMS} as terms from documents), sized as (select *, cast(len(terms) as bigint) as n from listed),
+totals as (select cast(count(*) filter (n > 0) as bigint) as docs, cast(sum(n) as bigint) as all_terms from sized),
+held as (select row, doc_id, n, t, cast(count(*) as bigint) as tf from (select row, doc_id, n, unnest(terms) as t from sized) x group by row, doc_id, n, t),
+weights as (select t, cast(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) as bigint) as w from held, totals group by t),
+asked as (select distinct item_id, t from (select item_id, unnest({_TERMS}) as t from benchmark) b),
+scored as (select a.item_id, h.row, h.doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // all_terms)))) as bigint) as score
+    from asked a join held h on h.t = a.t join weights g on g.t = a.t cross join totals group by a.item_id, h.row, h.doc_id),
+ranked as (select *, cast(row_number() over (partition by item_id order by score desc, doc_id nulls last) as integer) as rank from scored where score > 0)
+select item_id, rank, doc_id, score from ranked where rank <= 10"""
+
 # CRC-32 of the decimal digits: each code is followed by eight steps of the shift register.
 OP13 = """with hashed as (select *, xor(list_reduce(list_prepend(cast(4294967295 as bigint), flatten(list_transform(string_split(cast(sale_id as varchar), ''),
         lambda c: [cast(unicode(c) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))),
@@ -56,4 +67,4 @@ placed as (select *, row_number() over (partition by vendor_id, part, month orde
     count(*) over (partition by vendor_id, part, month, tens, percent) as tied from grouped)
 select vendor_id, part, month, pos, pos as place, sale_id, line_no, quantity, percent, amount_cents, tied from placed where pos <= 2"""
 
-SQL = {"op13_bit_slices": OP13, "op11_content_sort": OP11, "op3_cover_tree": OP3, "op5_suffix_array": OP5, "op10_minhash": OP10}
+SQL = {"op12_wand": OP12, "op13_bit_slices": OP13, "op11_content_sort": OP11, "op3_cover_tree": OP3, "op5_suffix_array": OP5, "op10_minhash": OP10}
