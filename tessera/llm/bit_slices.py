@@ -59,10 +59,14 @@ def _packed(bits: Sequence[Column]) -> tuple[list[Column], list[tuple[int, int]]
     return longs, places
 
 
-def _slice(code: int, bit: int) -> str:
-    """One bit of each line, 64 lines in a word."""
-    word = f"aggregate(slice(lines, cast(w * 64 + 1 as int), 64), named_struct('v', 0L, 'i', 0), (s, x) -> named_struct('v', s.v | shiftleft(shiftright(x.c{code}, {bit}) & 1L, s.i), 'i', s.i + 1), s -> s.v)"
-    return f"transform(sequence(0L, (n - 1) div 64), w -> {word})"
+def _slices(longs: int, places: Sequence[tuple[int, int]]) -> str:
+    """For each bit of the key one bit of each line, 64 lines in a word, the first of them lowest."""
+    if not places:
+        return "cast(array() as array<array<bigint>>)"
+    words = [f"transform(blocks, k -> aggregate(k, 0L, (v, x) -> shiftleft(v, 1) | (shiftright(x{f'.c{c}' if longs > 1 else ''}, {b}) & 1L)))" for c, b in places]
+    keys = "transform(lines, x -> " + ("x.c0" if longs == 1 else "named_struct(" + ", ".join(f"'c{i}', x.c{i}" for i in range(longs)) + ")") + ")"
+    blocks = "transform(sequence(0L, (n - 1) div 64), w -> reverse(slice(keys, cast(w * 64 + 1 as int), 64)))"
+    return f"element_at(transform(array({keys}), keys -> element_at(transform(array({blocks}), blocks -> array({', '.join(words)})), 1)), 1)"
 
 
 #: A set bit for each of a piece's n lines.
@@ -134,14 +138,16 @@ def first_places(df: DataFrame, groups: Sequence[str], first: Sequence[tuple[str
     lines = df.select(*[F.col(f"`{c}`").alias(g) for c, g in zip(groups, names, strict=True)], *[F.col(f"`{c}`").alias(f"r{i}") for i, c in enumerate(kept)])
     name = {c: f"r{i}" for i, c in enumerate(kept)}
     codes, at = _packed(_bits(lines, [(name[c], d) for c, d in first]))
-    order = [x for c in then for x in (F.col(name[c]).isNull().alias(f"n_{name[c]}"), F.col(name[c]).alias(f"o_{name[c]}"))]
-    line = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(codes)], *order, F.struct(*name.values()).alias("row"))
+    line = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(codes)], F.struct(*name.values()).alias("row"))
+    order = [f"'c{i}', x.c{i}" for i in range(len(codes))] + [f"'n_{name[c]}', x.row.{name[c]} is null, 'o_{name[c]}', x.row.{name[c]}" for c in then]
     crowds = saved(lines.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PIECE).select(*names, F.ceil(F.col("n") / PIECE).alias("pieces")))
     dealt = _joined(lines.withColumn("at", F.monotonically_increasing_id()), crowds, names, "left")
-    dealt = dealt.select(*names, F.col("pieces").isNotNull().alias("shared"), F.coalesce(F.pmod("at", "pieces"), _long(0)).alias("piece"), line.alias("line"))
-    held = dealt.repartition(*names, "piece").groupBy(*names, "piece", "shared").agg(F.collect_list("line").alias("lines")).withColumn("n", F.size("lines").cast("long"))
-    index = saved(held.withColumn("slices", F.array(*[F.expr(_slice(k, b)) for k, b in at]) if at else F.array().cast("array<array<bigint>>")))
-    fetch = F.expr(f"slice(array_sort(filter(lines, (x, i) -> (shiftright(zip_with(m.lt, m.eq, (a, b) -> a | b)[cast(i div 64 as int)], i % 64) & 1L) = 1L)), 1, {places})")
+    dealt = dealt.withColumns({"shared": F.col("pieces").isNotNull(), "piece": F.coalesce(F.pmod("at", "pieces"), _long(0))}).drop("at", "pieces")
+    held = dealt.repartition(*names, "piece").groupBy(*names, "piece", "shared").agg(F.collect_list(line).alias("lines")).withColumn("n", F.size("lines").cast("long"))
+    index = saved(held.withColumn("slices", F.expr(_slices(len(codes), at))))
+    taken = f"transform(filter(lines, (x, i) -> (shiftright(t[cast(i div 64 as int)], i % 64) & 1L) = 1L), x -> named_struct({', '.join(order)}, 'row', x.row))"
+    # named once: within a filter's function it would be computed for each line
+    fetch = F.expr(f"element_at(transform(array(zip_with(m.lt, m.eq, (a, b) -> a | b)), t -> slice(array_sort({taken}), 1, {places})), 1)")
     own = index.where(~F.col("shared")).withColumn("m", F.expr(_descended(places)))
     own = own.select(*names, F.expr(_count("m.lt")).alias("before"), F.expr(_count("m.eq")).alias("ties"), fetch.alias("best"))
     same = " and ".join(f"y.c{i} = x.c{i}" for i in range(len(codes)))
