@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import cleaning, collisions, languages, ledgers, relational, rollups, scheduling, shards, study, windows
 from .dialect import Duck, Spark
+from .packing_queries import PACKING_QUERIES, PACKING_SQL
 from .python_queries import PYTHON_QUERIES, PYTHON_SQL
 
 TABLE = re.compile(r"\{(region|nation|customer|supplier|part|orders|lineitem|events|documents|embeddings|pages|benchmark|labels|conversations)\}")
@@ -30,5 +31,5 @@ def spark_query(text: Callable[[Spark], str]) -> Callable[[SparkSession, str], D
 
 
 TEXTS = {name: f for module in (cleaning, shards, collisions, study, ledgers, relational, rollups, windows, languages, scheduling) for name, f in module.QUERIES.items()}
-QUERIES = {name: spark_query(f) for name, f in TEXTS.items()} | PYTHON_QUERIES
-SQL = {name: TABLE.sub(r"\1", f(Duck())) for name, f in TEXTS.items()} | PYTHON_SQL
+QUERIES = {name: spark_query(f) for name, f in TEXTS.items()} | PYTHON_QUERIES | PACKING_QUERIES
+SQL = {name: TABLE.sub(r"\1", f(Duck())) for name, f in TEXTS.items()} | PYTHON_SQL | PACKING_SQL
