@@ -74,6 +74,14 @@ def deleted(spark: SparkSession, folders: Sequence[str]) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settled(make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives, as a table; those that ``make`` saved meanwhile are deleted: no one but it could read them."""
+    with noted() as made:
+        out = saved(make())
+    deleted(out.sparkSession, [path for path in made if path != out._table])
+    return out
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of ``saved`` that nothing reads any more."""
     for table in tables:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, mix64, saved, shuffle_parts
+from .common import map_batches, mix64, saved, settled, shuffle_parts
 
 KMER = 24
 #: Bytes hashed at once, of one text or several.
@@ -446,7 +446,7 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     a character goes from ``kept`` too, so that it is UTF-8; n_removed doesn't count that.
     """
     base = saved_order = ordered(df.drop("kept", "n_bytes", "n_removed", "n_spans"), id_col, text_col)
-    spans = repeated_spans(saved_order.select(F.col("__ord").alias("ord"), F.col(f"`{text_col}`").alias("text")), length)
+    spans = settled(lambda: repeated_spans(saved_order.select(F.col("__ord").alias("ord"), F.col(f"`{text_col}`").alias("text")), length))
     joined = base.join(spans.withColumnRenamed("ord", "__ord"), "__ord", "left").drop("__ord")
     names = [c for c in joined.columns if c != "blobs"]
     schema = joined.drop("blobs").schema.add("kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
