@@ -62,19 +62,28 @@ def _scores(e) -> str:
     return f"select p.doc_id, sum(p.v * g.g) as score from ({_profile(e)}) p join ({_golden(e)}) g on p.w = g.w group by p.doc_id"
 
 
-def selection_decisions(e) -> str:
-    """A decision for every document, one that shares no word with the benchmark scoring 0; a score at a threshold passes it.
+#: Lanes whose documents no score keeps out.
+PROTECTED = "('src0', 'src1')"
 
-    Scores and thresholds are rounded, so that both engines compare the same numbers.
-    """
+
+def _decided(e) -> str:
     scored = f"select d.doc_id, d.source, round(coalesce(s.score, cast(0 as double)), 9) as score from {{documents}} d left join ({_scores(e)}) s on s.doc_id is not distinct from d.doc_id"
     cut = f"select round({e.quantile('score', 0.6)}, 9) as hi, round({e.quantile('score', 0.35)}, 9) as lo from ({scored}) q"
     ruled = "case when s.score >= c.hi then 'accept' when s.score >= c.lo then 'defer' else 'reject' end"
-    return f"select s.doc_id, s.source, {ruled} as would_be, case when s.source in ('src0', 'src1') then 'accept' else {ruled} end as decision from ({scored}) s cross join ({cut}) c"
+    return f"select s.doc_id, s.source, s.score, {ruled} as would_be, case when s.source in {PROTECTED} and s.score < c.hi then 'protected_override' else {ruled} end as decision from ({scored}) s cross join ({cut}) c"
+
+
+def selection_decisions(e) -> str:
+    """A decision for every document, one that shares no word with the benchmark scoring 0; a score at a threshold passes it.
+
+    A protected lane's document that would not be accepted is, by an override that says what it would have been. Scores and
+    thresholds are rounded, so that both engines compare the same numbers.
+    """
+    return f"select doc_id, source, would_be, decision from ({_decided(e)}) x"
 
 
 def selection_audit(e) -> str:
-    return f"select source, {', '.join(f'cast(count(case when decision = {chr(39)}{k}{chr(39)} then 1 end) as bigint) as {k}s' for k in ('accept', 'defer', 'reject'))}, cast(count(case when decision <> would_be then 1 end) as bigint) as overrides from ({selection_decisions(e)}) x group by source"
+    return f"select source, {', '.join(f'cast(count(case when decision = {chr(39)}{k}{chr(39)} then 1 end) as bigint) as {k}s' for k in ('accept', 'defer', 'reject'))}, cast(count(case when decision = 'protected_override' then 1 end) as bigint) as overrides from ({selection_decisions(e)}) x group by source"
 
 
 def label_centroids(e) -> str:

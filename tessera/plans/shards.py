@@ -34,7 +34,7 @@ def band_thresholds(e) -> str:
 
 def _banded(e) -> str:
     ladder = " ".join(f"when d.n <= t{i} then 'B{i}'" for i in range(5))
-    return f"select d.doc_id, d.lane, d.n, d.split, case {ladder} else 'B5' end as band from ({_docs(e)}) d join ({_thresholds(e)}) t on d.lane = t.lane"
+    return f"select d.doc_id, d.lane, d.n, d.split, case {ladder} else 'B5' end as band from ({_docs(e)}) d join ({_thresholds(e)}) t on d.lane is not distinct from t.lane"
 
 
 def band_assign(e) -> str:

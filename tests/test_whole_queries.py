@@ -31,7 +31,7 @@ def test_every_document_gets_a_decision(spark, tmp_path):
     assert {would[i] for i in range(40)} == {"accept"}  # ranks 30 to 69 are one score, so both thresholds (ranks 34.65 and 59.4) are it
     assert {would[i] for i in range(40, 70)} == {"reject"} and would[None] == "accept"
     audit = QUERIES["selection_audit"](spark, str(tmp_path)).collect()
-    assert sum(x.accepts + x.defers + x.rejects for x in audit) == 100
+    assert sum(x.accepts + x.defers + x.rejects + x.overrides for x in audit) == 100
 
 
 def test_strides_run_over_every_document_of_a_source(spark, tmp_path):
