@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tessera.functions.text import NOISE
+
 # The script blocks counted by the language detector (name, first and last code point), and its languages.
 SCRIPTS = [
     ("Devanagari", 0x0900, 0x097F), ("Bengali", 0x0980, 0x09FF), ("Gurmukhi", 0x0A00, 0x0A7F), ("Gujarati", 0x0A80, 0x0AFF), ("Odia", 0x0B00, 0x0B7F),
@@ -15,16 +17,21 @@ SYMBOLS = "[#•·►▪●…]"
 
 def text_stats(e) -> str:
     visible = e.replace("text", r"[ \t\n\r\f\v]+", "")
-    units = e.count("text", r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]")
+    units = e.count("text", UNITS)
     return f"select doc_id, cast(length(text) as bigint) as chars, cast(length({visible}) as bigint) as visible_chars, {e.bytes('text')} as utf8_bytes, {units} as units, {e.size(e.words('text'))} as words from {{documents}}"
 
 
+#: Unicode's blanks without the newline, which is apart.
+BLANK = r"\t\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 def normalized(e, x: str = "text") -> str:
+    """Tags of up to 40 characters and runs of blanks become a blank, noise goes, two newlines at most stay together; forms and entities are left to clean_text."""
     x = e.replace(x, r"<[^>]{1,40}>", " ")
-    x = e.replace(x, r"[\x00-\x08\x0B-\x1F\x7F]", "")
-    x = e.replace(x, r"[ \t]+", " ")
+    x = e.replace(x, NOISE, "")
+    x = e.replace(x, f"[{BLANK}]+", " ")
     x = e.replace(x, r"\n{3,}", r"\n\n") if e.name == "spark" else f"regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
-    return e.replace(x, r"^[ \n]+|[ \n]+$", "")
+    return e.replace(x, rf"\A[\n{BLANK}]+|[\n{BLANK}]+\z", "")
 
 
 def normalize_text(e) -> str:
@@ -35,7 +42,7 @@ def normalize_text(e) -> str:
 def _metrics(e) -> str:
     w, lines = e.words("text"), e.raw_lines("text")
     stops = ", ".join(f"'{s}'" for s in STOP_WORDS)
-    return f"""select doc_id, source, lang, text, {e.size('w')} as n_words,
+    return f"""select doc_id, source, lang, text, {e.size('w')} as n_words, {e.count('text', f'[{"".join(_blocks().values())}]')} as other_script,
         case when {e.size('w')} > 0 then cast({e.total(e.map('w', 'v', 'cast(length(v) as bigint)'))} as double) / {e.size('w')} else 0.0 end as mean_word,
         case when {e.size('w')} > 0 then cast({e.count('text', SYMBOLS)} as double) / {e.size('w')} else 0.0 end as symbol_ratio,
         case when {e.size('l')} > 0 then 1.0 - cast({e.size(e.distinct('l'))} as double) / {e.size('l')} else 0.0 end as dup_lines,
@@ -52,34 +59,48 @@ def quality_metrics(e) -> str:
     return f"select doc_id, n_words, round(mean_word, 6) as mean_word, round(symbol_ratio, 6) as symbol_ratio, round(dup_lines, 6) as dup_lines, round(bullet_lines, 6) as bullet_lines, stops from ({_metrics(e)}) m"
 
 
+#: What is judged by the English rules too: texts whose detected language is English, or none. A letter of another script makes it another.
+DETECTED_ENGLISH = "other_script = 0"
+
+
 def quality_filter(e) -> str:
-    return f"select doc_id, {NEUTRAL} and (lang <> 'en' or ({ENGLISH})) as kept, ({NEUTRAL}) and lang <> 'en' and not ({ENGLISH}) as saved_by_language from ({_metrics(e)}) m"
+    return f"select doc_id, {NEUTRAL} and (not {DETECTED_ENGLISH} or ({ENGLISH})) as kept, ({NEUTRAL}) and not {DETECTED_ENGLISH} and not ({ENGLISH}) as saved_by_language from ({_metrics(e)}) m"
 
 
 def rule_failures(e) -> str:
-    rules = {"word_count": "n_words >= 8", "mean_word": "lang <> 'en' or mean_word between 3 and 10", "symbols": "symbol_ratio < 0.10", "dup_lines": "dup_lines < 0.30", "bullets": "bullet_lines < 0.90", "stop_words": "lang <> 'en' or stops >= 2"}
+    rules = {"word_count": "n_words >= 8", "mean_word": f"not {DETECTED_ENGLISH} or mean_word between 3 and 10", "symbols": "symbol_ratio < 0.10", "dup_lines": "dup_lines < 0.30", "bullets": "bullet_lines < 0.90", "stop_words": f"not {DETECTED_ENGLISH} or stops >= 2"}
     return " union all ".join(f"select '{k}' as rule, cast(count(*) as bigint) as failures from ({_metrics(e)}) m where not ({v})" for k, v in rules.items())
 
 
-def _scripts(e) -> str:
+def _blocks() -> dict[str, str]:
+    """The inside of a character class for each script."""
     blocks: dict[str, str] = {}
     for n, a, b in SCRIPTS:
         blocks[n] = blocks.get(n, "") + f"{chr(a)}-{chr(b)}"
-    counts = ", ".join(f"{e.count('text', f'[{x}]')} as {n}" for n, x in blocks.items())
-    return f"select doc_id, lang, {counts}, {e.count('text', '[A-Za-z]')} as Latin from {{documents}}"
+    return blocks
 
 
-def script_detect(e) -> str:
-    names = [*dict.fromkeys(n for n, _, _ in SCRIPTS), "Latin"]
+def _scripts(e, more: str = "") -> str:
+    """Letters of each script in every document, with ``more`` columns from the same scan."""
+    counts = ", ".join(f"{e.count('text', f'[{x}]')} as {n}" for n, x in _blocks().items())
+    return f"select doc_id, lang, {counts}, {e.count('text', '[A-Za-z]')} as Latin{more} from {{documents}}"
+
+
+def _detected(e) -> str:
+    names = [*_blocks(), "Latin"]
     top = f"greatest({', '.join(names)})"
     total = " + ".join(names)
     first = " ".join(f"when {n} = {top} then '{n}'" for n in names)
     indic = " + ".join(names[:-1])
-    return f"select doc_id, case when {total} = 0 then 'und' {first} end as script, round(case when {total} = 0 then 0.0 else cast({top} as double) / ({total}) end, 6) as confidence, {total} > 0 and ({indic}) >= 0.15 * ({total}) and Latin >= 0.15 * ({total}) as code_switched from ({_scripts(e)}) s"
+    return f"select doc_id, lang, case when {total} = 0 then 'und' {first} end as script, round(case when {total} = 0 then 0.0 else cast({top} as double) / ({total}) end, 6) as confidence, {total} > 0 and ({indic}) >= 0.15 * ({total}) and Latin >= 0.15 * ({total}) as code_switched from ({_scripts(e)}) s"
+
+
+def script_detect(e) -> str:
+    return f"select doc_id, script, confidence, code_switched from ({_detected(e)}) d"
 
 
 def claimed_vs_detected(e) -> str:
-    return f"select d.lang as claimed, s.script as detected, cast(count(*) as bigint) as docs, cast(count(case when (s.script = 'Latin' and d.lang <> 'en') or s.script = 'und' then 1 end) as bigint) as mismatches, cast(count(case when s.code_switched then 1 end) as bigint) as code_switched, cast(count(case when s.confidence < 0.6 then 1 end) as bigint) as low_confidence from {{documents}} d join ({script_detect(e)}) s on d.doc_id = s.doc_id group by d.lang, s.script"
+    return f"select lang as claimed, script as detected, cast(count(*) as bigint) as docs, cast(count(case when (script = 'Latin' and lang <> 'en') or script = 'und' then 1 end) as bigint) as mismatches, cast(count(case when code_switched then 1 end) as bigint) as code_switched, cast(count(case when confidence < 0.6 then 1 end) as bigint) as low_confidence from ({_detected(e)}) d group by lang, script"
 
 
 def exact_dedup(e) -> str:
@@ -109,12 +130,25 @@ def _bands(e) -> str:
 
 
 def lsh_buckets(e) -> str:
-    """Members beside the first of each shared bucket: linear in the members, where all pairs would not be."""
-    return f"select distinct hub, doc_id from (select doc_id, min(doc_id) over (partition by bucket) as hub from ({_bands(e)}) c) t where hub < doc_id"
+    """Who is in each bucket of two documents or more: two are candidates for each other where they share one."""
+    return f"select md5(bucket) as bucket, doc_id from (select bucket, doc_id, count(*) over (partition by bucket) as members from ({_bands(e)}) c) t where members > 1"
+
+
+def signature_classes(e) -> str:
+    """Documents of one signature, and the first of them, which stands for all in pairs: copies always share every bucket."""
+    first = f"min(doc_id) over (partition by {', '.join(f'm{k}' for k in range(64))})"
+    return f"select doc_id, {first} as first_id from ({_signature(e, 64)}) g"
 
 
 def jaccard_of_candidates(e) -> str:
-    return f"select p.hub, p.doc_id, {e.overlap('a.sh', 'b.sh')} as common, round(cast({e.overlap('a.sh', 'b.sh')} as double) / ({e.size('a.sh')} + {e.size('b.sh')} - {e.overlap('a.sh', 'b.sh')}), 6) as jaccard from ({lsh_buckets(e)}) p join ({_shingles(e, 5)}) a on a.doc_id = p.hub join ({_shingles(e, 5)}) b on b.doc_id = p.doc_id"
+    """All pairs of unlike signatures that share a bucket, by the first documents of each: shared shingles, similarity, and whether it is 0.7 or more.
+
+    With ``signature_classes`` these are all candidate pairs, and copies don't multiply them.
+    """
+    firsts = f"select b.bucket, b.doc_id from ({_bands(e)}) b join ({signature_classes(e)}) s on s.doc_id = b.doc_id and s.first_id = b.doc_id"
+    pairs = f"select distinct x.doc_id as first_id, y.doc_id as second_id from ({firsts}) x join ({firsts}) y on x.bucket = y.bucket and x.doc_id < y.doc_id"
+    common = f"select p.first_id, p.second_id, {e.overlap('a.sh', 'b.sh')} as common, {e.size('a.sh')} + {e.size('b.sh')} as both_sizes from ({pairs}) p join ({_shingles(e, 5)}) a on a.doc_id = p.first_id join ({_shingles(e, 5)}) b on b.doc_id = p.second_id"
+    return f"select first_id, second_id, common, round(cast(common as double) / (both_sizes - common), 6) as jaccard, 10 * common >= 7 * (both_sizes - common) as near from ({common}) c"
 
 
 def _grams8(e, table: str, key: str) -> str:
@@ -129,18 +163,32 @@ def survivors(e) -> str:
     return f"select d.doc_id, d.source from {{documents}} d left join ({decontaminate_8gram(e)}) c on d.doc_id = c.doc_id where c.doc_id is null"
 
 
+# Words that drop a text of a toxic source.
+TOXIC_MARKERS = ["kill", "hate", "stupid", "idiot", "bastard", "rape", "terrorist", "slur"]
+
+
+def _toxic_labels() -> str:
+    """One row a document, however often it is labelled."""
+    return "select doc_id, max(toxic) as toxic from {labels} where doc_id is not null group by doc_id"
+
+
+def _marked(e) -> str:
+    return f"{e.overlap(e.words('lower(text)'), e.list(', '.join(repr(m) for m in TOXIC_MARKERS)))} > 0"
+
+
 def safety_drop(e) -> str:
-    marker = r"(^|[^a-z])(idiot|moron|scum|clown|worthless)([^a-z]|$)"
-    return f"select d.doc_id, case when c.doc_id is not null then 'contaminated' when l.toxic = 1 and {e.like('lower(d.text)', marker)} then 'toxic' else 'kept' end as verdict from {{documents}} d left join ({decontaminate_8gram(e)}) c on d.doc_id = c.doc_id left join {{labels}} l on d.doc_id = l.doc_id"
+    """Documents that share a gram with the benchmark go, and labelled ones that hold a marker as a whole word."""
+    return f"select d.doc_id, case when c.doc_id is not null then 'contaminated' when l.toxic = 1 and d.marked then 'toxic' else 'kept' end as verdict from (select doc_id, {_marked(e)} as marked from {{documents}}) d left join ({decontaminate_8gram(e)}) c on d.doc_id = c.doc_id left join ({_toxic_labels()}) l on d.doc_id = l.doc_id"
 
 
 def cleaning_funnel(e) -> str:
-    return f"""select v.source, cast(count(*) as bigint) as docs_in, cast(count(case when q.kept then 1 end) as bigint) as after_quality,
-        cast(count(case when q.kept and x.doc_id is not null then 1 end) as bigint) as after_dedup,
-        cast(count(case when q.kept and x.doc_id is not null and s.verdict = 'kept' then 1 end) as bigint) as docs_out,
-        round(cast(100 as double) * count(case when q.kept and x.doc_id is not null and s.verdict = 'kept' then 1 end) / count(*), 4) as survival
-        from {{documents}} v join ({quality_filter(e)}) q on v.doc_id = q.doc_id left join ({exact_dedup(e)}) x on v.doc_id = x.doc_id
-        join ({safety_drop(e)}) s on v.doc_id = s.doc_id group by v.source"""
+    """Documents of each source left after the quality rules, without copies, and after the safety drop: one scan for the rules, the hash and the markers."""
+    judged = f"select doc_id, source, {NEUTRAL} and (not {DETECTED_ENGLISH} or ({ENGLISH})) as good, {e.sha('text')} as h, {_marked(e)} as marked from ({_metrics(e)}) m"
+    first = "doc_id = min(doc_id) over (partition by h)"
+    flagged = f"select doc_id, source, good, marked, {first} as fresh from ({judged}) j"
+    out = f"select f.source, f.good, f.good and f.fresh as fresh, f.good and f.fresh and c.doc_id is null and not (coalesce(l.toxic, 0) = 1 and f.marked) as safe from ({flagged}) f left join ({decontaminate_8gram(e)}) c on c.doc_id = f.doc_id left join ({_toxic_labels()}) l on l.doc_id = f.doc_id"
+    count = lambda c: f"cast(count(case when {c} then 1 end) as bigint)"
+    return f"select source, cast(count(*) as bigint) as docs_in, {count('good')} as after_quality, {count('fresh')} as after_dedup, {count('safe')} as docs_out, round(cast(100 as double) * count(case when safe then 1 end) / count(*), 4) as survival from ({out}) o group by source"
 
 
 def source_manifest(e) -> str:
@@ -148,8 +196,14 @@ def source_manifest(e) -> str:
     return f"select source, cast(count(*) as bigint) as docs, cast(sum({e.size(e.words('text'))}) as bigint) as tokens, cast(count(distinct lang) as bigint) as langs, {e.sha(hashes)} as content_hash, case when count(*) > 0 and sum(length(text)) > 0 and source <> '' then 'ADMITTED' else 'BLOCKED' end as gate from {{documents}} group by source"
 
 
+UNITS = r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]"
+
+
 def fertility(e) -> str:
-    return f"select lang, case when sum(words) >= 200 then round(cast(sum(units) as double) / sum(words), 6) end as fertility, cast(sum(words) as bigint) as words from (select d.lang, s.words, s.units, row_number() over (partition by d.lang order by d.doc_id) as rn from {{documents}} d join ({text_stats(e)}) s on d.doc_id = s.doc_id) t where rn <= 600 group by lang"
+    """Units a word of the first 600 documents of each language; the feature reads those only. No figure below 200 words."""
+    first = "select * from (select lang, text, row_number() over (partition by lang order by doc_id) as rn from {documents}) t where rn <= 600"
+    counted = f"select lang, {e.size(e.words('text'))} as words, {e.count('text', UNITS)} as units from ({first}) f"
+    return f"select lang, case when sum(words) >= 200 then round(cast(sum(units) as double) / sum(words), 6) end as fertility, cast(sum(words) as bigint) as words from ({counted}) c group by lang"
 
 
 def html_prune(e) -> str:
@@ -168,4 +222,4 @@ def conversation_spans(e) -> str:
     return f"select conv_id, cast(count(*) as bigint) as spans, cast(sum(case when role = 'assistant' then {e.size(e.words('text'))} else 0 end) as bigint) as loss_words, cast(sum({e.size(e.words('text'))}) as bigint) as words, {e.sha(e.string('text', 'turn', '|'))} as record_hash from {{conversations}} group by conv_id having count(case when role = 'assistant' then 1 end) > 0"
 
 
-QUERIES = {f.__name__: f for f in (text_stats, normalize_text, quality_metrics, quality_filter, rule_failures, script_detect, claimed_vs_detected, exact_dedup, minhash_signatures, lsh_buckets, jaccard_of_candidates, decontaminate_8gram, survivors, safety_drop, cleaning_funnel, source_manifest, fertility, html_prune, conversation_spans)}
+QUERIES = {f.__name__: f for f in (text_stats, normalize_text, quality_metrics, quality_filter, rule_failures, script_detect, claimed_vs_detected, exact_dedup, minhash_signatures, lsh_buckets, signature_classes, jaccard_of_candidates, decontaminate_8gram, survivors, safety_drop, cleaning_funnel, source_manifest, fertility, html_prune, conversation_spans)}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .cleaning import SCRIPTS, _scripts
+from .cleaning import SCRIPTS, _blocks, _scripts
 
 # Languages of the scripts that have one.
 LANGUAGES = {"Gurmukhi": "pa", "Gujarati": "gu", "Odia": "or", "Tamil": "ta", "Telugu": "te", "Kannada": "kn", "Malayalam": "ml", "Arabic": "ur"}
@@ -15,12 +15,17 @@ NAMES = [*dict.fromkeys(n for n, _, _ in SCRIPTS)]
 
 
 def language_detect(e) -> str:
-    """Language, script, confidence and shares: the commonest Indic or Arabic script decides, cues part languages of one script."""
-    cues = " + ".join(f"case when contains(d.text, '{x}') then 1 else 0 end" for x in [*MARATHI, MARATHI_LETTER])
-    assamese = " or ".join(f"contains(d.text, '{x}')" for x in ASSAMESE)
+    """Language, script, confidence and shares: the commonest Indic or Arabic script decides, of equal ones the first in the text; cues part languages of one script."""
+    cues = " + ".join(f"case when contains(text, '{x}') then 1 else 0 end" for x in [*MARATHI, MARATHI_LETTER])
+    assamese = " or ".join(f"contains(text, '{x}')" for x in ASSAMESE)
     total, top = " + ".join(NAMES), f"greatest({', '.join(NAMES)})"
-    first = " ".join(f"when {n} = {top} then '{n}'" for n in NAMES)
-    base = f"select s.doc_id, s.lang as claimed, Latin, {total} as indic, {top} as most, case when {total} = 0 then 'Latin' {first} end as script, {cues} as cues, {assamese} as assamese from ({_scripts(e)}) s join {{documents}} d on d.doc_id = s.doc_id"
+    # of tied scripts, how much text comes before the first letter
+    places = ", ".join(f"case when {n} = most and tied > 1 then length({e.extract('text', f'^([^{x}]*)')}) when {n} = most then 0 end as at_{n}" for n, x in _blocks().items())
+    ladder = " ".join(f"when at_{n} = place then '{n}'" for n in NAMES)
+    counted = _scripts(e, f", text, {cues} as cues, {assamese} as assamese")
+    most = f"select *, {total} as indic, {top} as most, {' + '.join(f'case when {n} = {top} then 1 else 0 end' for n in NAMES)} as tied from ({counted}) s"
+    placed = f"select doc_id, lang, Latin, indic, most, cues, assamese, {places} from ({most}) m"
+    base = f"select doc_id, lang as claimed, Latin, indic, most, cues, assamese, case when indic = 0 then 'Latin' {ladder} end as script from (select *, least({', '.join(f'coalesce(at_{n}, 2147483647)' for n in NAMES)}) as place from ({placed}) p) q"
     mapped = " ".join(f"when script = '{k}' then '{v}'" for k, v in LANGUAGES.items())
     lang = f"case when Latin + indic = 0 then 'und' when indic = 0 then 'en' when script = 'Devanagari' then case when cues >= 2 then 'mr' else 'hi' end when script = 'Bengali' then case when assamese then 'as' else 'bn' end {mapped} else 'und' end"
     share = lambda x: f"round(case when Latin + indic = 0 then 0.0 else cast({x} as double) / (Latin + indic) end, 3)"
