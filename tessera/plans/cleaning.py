@@ -192,8 +192,12 @@ def cleaning_funnel(e) -> str:
 
 
 def source_manifest(e) -> str:
-    hashes = e.string(e.sha("text"), "doc_id", ",")
-    return f"select source, cast(count(*) as bigint) as docs, cast(sum({e.size(e.words('text'))}) as bigint) as tokens, cast(count(distinct lang) as bigint) as langs, {e.sha(hashes)} as content_hash, case when count(*) > 0 and sum(length(text)) > 0 and source <> '' then 'ADMITTED' else 'BLOCKED' end as gate from {{documents}} group by source"
+    """Each source's documents, words, languages, and a hash of its contents by blocks of ids; one without a name or without text is blocked."""
+    from .shaping import hashed_contents
+
+    hashed = hashed_contents(e, "select source, doc_id, text, lang from {documents}", "source", f"count(*) as docs; sum({e.size(e.words('text'))}) as tokens; sum(length(text)) as chars")
+    langs = "select source, count(distinct lang) as langs from {documents} group by source"
+    return f"select h.source, h.docs, h.tokens, cast(l.langs as bigint) as langs, h.content_hash, case when h.docs > 0 and h.chars > 0 and h.source <> '' then 'ADMITTED' else 'BLOCKED' end as gate from ({hashed}) h join ({langs}) l on l.source is not distinct from h.source"
 
 
 UNITS = r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]"
