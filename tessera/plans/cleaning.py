@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from tessera.functions.text import NOISE
 
+from .dialect import Spark
+
 # The script blocks counted by the language detector (name, first and last code point), and its languages.
 SCRIPTS = [
     ("Devanagari", 0x0900, 0x097F), ("Bengali", 0x0980, 0x09FF), ("Gurmukhi", 0x0A00, 0x0A7F), ("Gujarati", 0x0A80, 0x0AFF), ("Odia", 0x0B00, 0x0B7F),
@@ -104,7 +106,8 @@ def claimed_vs_detected(e) -> str:
 
 
 def exact_dedup(e) -> str:
-    return f"select doc_id, content_hash, copies from (select doc_id, {e.sha('text')} as content_hash, row_number() over (partition by {e.sha('text')} order by doc_id) as rn, cast(count(*) over (partition by {e.sha('text')}) as bigint) as copies from {{documents}}) t where rn = 1"
+    """The first document of each text, and how many have it; counts and least ids are combined before rows of a text meet."""
+    return f"select min(doc_id) as doc_id, {e.sha('text')} as content_hash, cast(count(*) as bigint) as copies from {{documents}} group by {e.sha('text')}"
 
 
 def _shingles(e, k: int) -> str:
@@ -151,12 +154,26 @@ def jaccard_of_candidates(e) -> str:
     return f"select first_id, second_id, common, round(cast(common as double) / (both_sizes - common), 6) as jaccard, 10 * common >= 7 * (both_sizes - common) as near from ({common}) c"
 
 
-def _grams8(e, table: str, key: str) -> str:
-    return f"select {key}, {e.each(e.distinct(e.grams('w', 8)))} as gram from (select {key}, {e.once(e.words('lower(text)'))} as w from {{{table}}}) t where {e.size('w')} >= 8"
+def _grams8(e, rows: str, key: str) -> str:
+    return f"select {key}, {e.each(e.distinct(e.grams('w', 8)))} as gram from (select {key}, {e.once(e.words('lower(text)'))} as w from {rows}) t where {e.size('w')} >= 8"
+
+
+def _hashes8(rows: str, key: str) -> str:
+    """Spark's 64-bit hashes of all word 8-grams."""
+    return f"select {key}, explode(transform(sequence(1, size(w) - 7), i -> xxhash64(slice(w, i, 8)))) as h from (select {key}, {Spark().once(Spark().words('lower(text)'))} as w from {rows}) t where size(w) >= 8"
 
 
 def decontaminate_8gram(e) -> str:
-    return f"select g.doc_id, cast(count(*) as bigint) as shared_grams from ({_grams8(e, 'documents', 'doc_id')}) g where g.gram in (select gram from ({_grams8(e, 'benchmark', 'item_id')}) b) group by g.doc_id"
+    """Documents that share a word 8-gram with the benchmark, and how many.
+
+    In Spark hashes of the grams are compared first, so that only documents with a common hash are cut into strings; the
+    strings decide.
+    """
+    rows = "{documents}"
+    if e.name == "spark":
+        met = f"select distinct doc_id from ({_hashes8('{documents}', 'doc_id')}) g where h in (select h from ({_hashes8('{benchmark}', 'item_id')}) b)"
+        rows = f"(select d.* from {{documents}} d left semi join ({met}) c on c.doc_id <=> d.doc_id)"
+    return f"select g.doc_id, cast(count(*) as bigint) as shared_grams from ({_grams8(e, rows, 'doc_id')}) g where g.gram in (select gram from ({_grams8(e, '{benchmark}', 'item_id')}) b) group by g.doc_id"
 
 
 def survivors(e) -> str:
