@@ -96,7 +96,9 @@ def _nodes(df: DataFrame) -> DataFrame:
             for label, v in zip(b.column("label").to_pylist(), b.column("vec").to_pylist(), strict=True):
                 ok = label is not None and v and None not in v
                 a = np.array(v, np.float64) + 0.0 if ok else np.zeros(0)
-                ok = ok and bool(np.isfinite(a).all()) and float(np.sqrt((a * a).sum())) > 0 and bool(np.isfinite((a * a).sum()))
+                ok = ok and bool(np.isfinite(a).all()) and bool(a.any())
+                if ok and not 1e-100 < np.abs(a).max() < 1e100:  # squares would leave the range of doubles: the same direction, by a power of two
+                    a = np.ldexp(a, -int(np.frexp(np.abs(a).max())[1])) + 0.0
                 data = a.tobytes() if ok else None
                 nodes.append(hashlib.sha256(f"{label};".encode() + data).digest()[:16] if ok else None)
                 raw.append(data)
@@ -133,7 +135,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
     Rows link when labels are equal and not null and the cosine in double precision is ``threshold`` (above 0) or more.
     Null, empty or zero vectors and those with null or non-finite components link with nothing; vectors of unequal
-    length don't link. Repeated rows link with each other. An unlinked row is its own component. Extra columns are left out.
+    length don't link. Components of any size are allowed: very large or small vectors are scaled first. Repeated rows link with each other. An unlinked row is its own component. Extra columns are left out.
     """
     rows = saved(_nodes(df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("string").alias("label"), F.col(f"`{vec_col}`").cast("array<double>").alias("vec"))))
     nodes = saved(rows.where("node is not null").groupBy("label", "node").agg(F.first("vec").alias("vec"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))

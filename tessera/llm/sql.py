@@ -7,8 +7,8 @@ _REACH = "reach as (select id, id as far from nodes union select r.id, l.b from
 
 OP3 = f"""with recursive vectors as (
     select vec_id as id, label, list_transform(cast(embedding as double[]), lambda x: coalesce(x, cast('nan' as double))) as v from embeddings),
-usable as (select * from vectors where label is not null and v is not null and len(v) > 0
-    and len(list_filter(v, lambda x: isnan(x) or isinf(x))) = 0 and list_dot_product(v, v) > 0),
+finite as (select *, list_max(list_transform(v, lambda x: abs(x))) as m from vectors where label is not null and v is not null and len(v) > 0 and len(list_filter(v, lambda x: isnan(x) or isinf(x))) = 0),
+usable as (select id, label, case when m > 1e-100 and m < 1e100 then v else list_transform(list_transform(v, lambda x: x / pow(2, floor(log2(m) / 2))), lambda x: x / pow(2, floor(log2(m)) - floor(log2(m) / 2))) end as v from finite where m > 0),
 links as (select x.id as a, y.id as b from usable x join usable y on x.label = y.label and x.id <> y.id and len(x.v) = len(y.v)
     where list_dot_product(x.v, y.v) / (sqrt(list_dot_product(x.v, x.v)) * sqrt(list_dot_product(y.v, y.v))) >= 0.93),
 nodes as (select id from vectors), {_REACH}
