@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cleaning, collisions, languages, ledgers, relational, rollups, scheduling, shaping, shards, slots, study, unicode_queries, windows
+from . import cleaning, collisions, languages, ledgers, relational, rollups, scheduling, shaping, shards, slots, snapshots, study, unicode_queries, windows
 from .dialect import Duck, Spark
 from .packing_queries import PACKING_QUERIES, PACKING_SQL
 from .python_queries import PYTHON_QUERIES, PYTHON_SQL
@@ -31,6 +31,6 @@ def spark_query(text: Callable[[Spark], str]) -> Callable[[SparkSession, str], D
     return run
 
 
-TEXTS = {name: f for module in (cleaning, shards, collisions, study, ledgers, relational, rollups, windows, languages, scheduling, slots, unicode_queries, shaping) for name, f in module.QUERIES.items()}
+TEXTS = {name: f for module in (cleaning, shards, collisions, study, ledgers, relational, rollups, windows, languages, scheduling, slots, unicode_queries, shaping, snapshots) for name, f in module.QUERIES.items()}
 QUERIES = {name: spark_query(f) for name, f in TEXTS.items()} | PYTHON_QUERIES | PACKING_QUERIES | unicode_queries.ARTICLES | TOKEN_QUERIES
 SQL = {name: TABLE.sub(r"\1", f(Duck())) for name, f in TEXTS.items()} | PYTHON_SQL | PACKING_SQL | unicode_queries.ARTICLES_SQL | TOKEN_SQL
