@@ -42,7 +42,7 @@ def json_ledger(e) -> str:
 
 
 def throughput(e) -> str:
-    return f"select lane, cast(count(*) as bigint) as records, cast(sum(tokens) as bigint) as tokens, {e.quantile('tokens', 0.9)} as p90, {e.quantile('tokens', 0.5)} as median, cast(max(tokens) as bigint) as most from ({_steps(e)}) s group by lane"
+    return f"select lane, cast(count(*) as bigint) as records, cast(sum(tokens) as bigint) as tokens, round(cast(sum(tokens) as double) / count(tokens), 6) as mean, {e.quantile('tokens', 0.9)} as p90, {e.quantile('tokens', 0.5)} as median, cast(max(tokens) as bigint) as most from ({_steps(e)}) s group by lane"
 
 
 def _profile(e) -> str:

@@ -85,6 +85,31 @@ def json_lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_json_lines(spark, path, docs.schema).select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_hash"))
 
 
+def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to a tree of folders by source, those labelled toxic apart, and read again: source and flag come from the path alone."""
+    toxic = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    docs = _documents(spark, sf_dir).join(toxic, "doc_id", "left")
+    folder = F.concat(F.coalesce("source", F.lit("none")), F.when(F.col("toxic") == 1, "-toxic").otherwise(""))
+    root = files.scratch(spark, "tree")
+    docs.select("doc_id", "text", folder.alias("folder")).write.partitionBy("folder").parquet(root)
+    rows = files.parquet_tree(spark, root).select("doc_id", "text", F.regexp_replace(files.source_of(F.col("file")), "^folder=", "").alias("folder"))
+    flagged = rows.select("text", F.regexp_replace("folder", "-toxic$", "").alias("source"), F.col("folder").contains("toxic").alias("toxic_source"))
+    return flagged.groupBy("source", "toxic_source").agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("chars"))
+
+
+def broken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks as lines of JSON in which their own properties are put unchecked: rows that are read, and lines that are no row, by kind."""
+    clicks = spark.read.parquet(f"{sf_dir}/clicks.parquet")
+    line = F.concat(F.lit('{"click_id": '), F.col("click_id").cast("string"), F.lit(', "kind": "'), F.coalesce("kind", F.lit("none")), F.lit('", "props": '), F.coalesce("props", F.lit("")), F.lit("}"))
+    path = files.scratch(spark, "lines")
+    clicks.select(line.alias("value")).where("value is not null").write.text(path)
+    schema = "click_id long, kind string, props map<string, string>"
+    read = files.read_json_lines(spark, path, schema).groupBy("kind").agg(F.count(F.lit(1)).alias("rows"))
+    bad = files.malformed_lines(spark, path, schema).select(F.regexp_extract("value", '"kind": "([^"]*)"', 1).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("broken"))
+    both = read.join(bad, "kind", "full")
+    return both.select("kind", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("rows", "broken")])
+
+
 def lane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written by source; of two sources, what is read back."""
     path = files.scratch(spark, "lanes")
@@ -153,7 +178,7 @@ def vocabulary_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.vocabulary(spark).groupBy("kind").agg(F.count(F.lit(1)).alias("ids"), F.max(F.length("surface")).cast("long").alias("longest"))
 
 
-PYTHON_QUERIES: dict = {f.__name__: f for f in (bpe_round_trip, bpe_fertility, span_tokens, vocabulary_kinds, pii_mask, greedy_dedup, unicode_nfc, clean_text, checksum_collisions, pca_2d, json_lines_round_trip, lane_files, capped_lanes, uint16_round_trip)}
+PYTHON_QUERIES: dict = {f.__name__: f for f in (bpe_round_trip, bpe_fertility, span_tokens, vocabulary_kinds, pii_mask, greedy_dedup, unicode_nfc, clean_text, checksum_collisions, pca_2d, json_lines_round_trip, source_tree, broken_lines, lane_files, capped_lanes, uint16_round_trip)}
 
 _SIZES = "list_transform(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f\\v]+'), lambda w: w <> ''), lambda w: length(w))"
 _GREEDY = f"""with recursive bands as materialized (select doc_id, list(md5_number_lower(bucket)) as b from ({_bands(Duck()).replace("{documents}", "documents")}) x group by doc_id),
@@ -169,6 +194,8 @@ PYTHON_SQL: dict[str, str] = {
     "greedy_dedup": _GREEDY,
     "unicode_nfc": "select doc_id, sha256(nfc_normalize(text)) as nfc_hash, nfc_normalize(text) <> text as changed from documents",
     "json_lines_round_trip": "select doc_id, lang, source, n_chars, sha256(text) as text_hash from documents",
+    "source_tree": "select coalesce(d.source, 'none') as source, coalesce(l.toxic = 1, false) as toxic_source, count(*) as docs, cast(coalesce(sum(length(d.text)), 0) as bigint) as chars from documents d left join (select doc_id, max(toxic) as toxic from labels group by doc_id) l on l.doc_id = d.doc_id group by 1, 2",
+    "broken_lines": "select coalesce(kind, 'none') as kind, count(case when json_valid(props) then 1 end) as rows, count(case when json_valid(props) then null else 1 end) as broken from clicks where click_id is not null group by 1",
     "lane_files": "select source as lane, count(*) as docs, cast(sum(length(text)) as bigint) as chars, max(doc_id) as last_id from documents where source in ('src0', 'src3') group by source",
     "capped_lanes": "select lane, key, start, size from (select *, cast(sum(size) over (partition by lane order by key, text) - size as bigint) as start from (select source as lane, min(doc_id) as key, trim(replace(text, chr(13), ''), ' ') as text, cast(strlen(trim(replace(any_value(text), chr(13), ''), ' ')) as bigint) as size from documents where length(trim(replace(text, chr(13), ''), ' ')) >= 30 group by 1, 3) t) u where start < 20000",
     "uint16_round_trip": f"select doc_id, cast(2 * len({_SIZES}) as bigint) as bytes, cast(coalesce(list_sum({_SIZES}), 0) as bigint) as total from documents",

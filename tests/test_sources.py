@@ -134,3 +134,14 @@ def test_same_as_sql(spark, name):
     got, want = QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), con.execute(PYTHON_SQL[name]).df()
     rows = lambda f: sorted(f[sorted(f.columns)].astype(str).itertuples(index=False, name=None))
     assert rows(got) == rows(want)
+
+
+def test_trees_and_broken_lines(spark, tmp_path):
+    docs = [(1, "abc", "en", "a", 3), (2, "de", "en", "a", 2), (3, None, "en", None, 0), (4, "f", "en", "b", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2, 0, 1), (2, 0, 1), (4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {(r["source"], r["toxic_source"]): (r["docs"], r["chars"]) for r in QUERIES["source_tree"](spark, str(tmp_path)).collect()}
+    assert got == {("a", False): (1, 3), ("a", True): (1, 2), ("none", False): (1, 0), ("b", False): (1, 1)}
+    clicks = [(1, "view", '{"k": 1}'), (2, "view", '{"k": 1'), (3, None, None), (4, "click", "{}"), (None, "view", "{}")]
+    spark.createDataFrame(clicks, "click_id long, kind string, props string").write.parquet(f"{tmp_path}/clicks.parquet")
+    assert {r["kind"]: (r["rows"], r["broken"]) for r in QUERIES["broken_lines"](spark, str(tmp_path)).collect()} == {"view": (1, 1), "none": (0, 1), "click": (1, 0)}
