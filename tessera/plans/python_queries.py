@@ -16,7 +16,7 @@ from tessera.sources import files
 from .cleaning import _bands
 from .dialect import Duck, Spark
 
-#: The reference's patterns in its order. (?U) makes \d, \w, \s and \b Unicode, as in Python; PHONE looks behind, which
+# What is masked, in this order. (?U) makes \d, \w, \s and \b Unicode, as in Python; PHONE looks behind, which
 #: DuckDB's patterns can't.
 PII = [
     ("email", r"(?U)[\w.+-]+@[\w-]+\.[\w.-]+"),

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+from tessera.functions.text import GHOST
+
 from .shards import running
 from .study import _study, noise_floor
 
-# Chat markers that don't belong in text, in any case.
-GHOST = r"(?i)\[/?(USER|ASSISTANT|SYSTEM|INST)\]|<[|][a-z_]+[|]>|<<SYS>>"
-
 
 def ghost_markers(e) -> str:
     """Documents with chat markers: how many, and the hash of the text without them."""

@@ -1,10 +1,8 @@
 """Sources, sinks and DataFrame queries against files written by hand and against plain Python."""
 
 import hashlib
-import html
 import json
 import random
-import re
 import unicodedata
 import zlib
 from collections import Counter
@@ -19,20 +17,18 @@ from tessera.plans.registry import QUERIES
 from tessera.sources import files
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
-TEXTS = [
-    "été  &amp; <b>bold</b>\n\n\n\nend ",
-    "zero​width﻿ and क्‍ष kept‌",
-    "<|im_start|>user hi [/INST] <<SYS>> there [USER]",
-    "\x01\x02 ", "", None, "a 　b\r\nc", "&#8217;&lt;i&gt;x",
-]
-NOISE = re.compile("[​‎‏﻿�‪-‮⁦-⁩]|[\x00-\x08\x0b\x0c\x0e-\x1f]")
-GHOST = re.compile(r"\[/?(?:USER|ASSISTANT|SYSTEM|INST)\]|<\|[a-z_]+\|>|<<SYS>>", re.I)
-
-
-def _clean(s):
-    x = re.sub(r"<[^>]{1,40}>", " ", html.unescape(unicodedata.normalize("NFC", s)))
-    x = re.sub(r"\n{3,}", "\n\n", re.sub(r"[^\S\n]+", " ", NOISE.sub("", x))).strip()
-    return re.sub(r"[^\S\n]+", " ", GHOST.sub("", x).strip()) if GHOST.search(s) else x
+#: Texts, and what cleaning leaves of them, worked out by hand.
+CLEANED = [
+    ('e\u0301te\u0301  &amp; <b>bold</b>\n\n\n\nend ', '\xe9t\xe9 & bold \n\nend'),
+    ('zero\u200bwidth\ufeff and \u0915\u094d\u200d\u0937 kept\u200c', 'zerowidth and \u0915\u094d\u200d\u0937 kept\u200c'),
+    ('<|im_start|>user hi [/INST] <<SYS>> there [USER]', 'user hi > there'),
+    ('\x01\x02 ', ''),
+    ('', ''),
+    (None, None),
+    ('a\xa0\u3000b\r\nc', 'a b \nc'),
+    ('&#8217;&lt;i&gt;x', '\u2019 x'),
+]
+TEXTS = [t for t, _ in CLEANED]
 
 
 def _folder(spark, path, texts):
@@ -42,12 +38,12 @@ def _folder(spark, path, texts):
 
 def test_clean_text(spark, tmp_path):
     got = {r["doc_id"]: r for r in QUERIES["clean_text"](spark, _folder(spark, tmp_path, TEXTS)).collect()}
-    for i, t in enumerate(TEXTS):
-        if t is None:
+    for i, (_, left) in enumerate(CLEANED):
+        if left is None:
             assert got[i]["content_hash"] is None and got[i]["dropped"] is None
             continue
-        assert got[i]["content_hash"] == hashlib.sha256(_clean(t).encode()).hexdigest(), (i, _clean(t))
-        assert got[i]["dropped"] == (_clean(t) == "")
+        assert got[i]["content_hash"] == hashlib.sha256(left.encode()).hexdigest(), (i, left)
+        assert got[i]["dropped"] == (left == "")
     assert got[1]["joiners"] == 2 and got[2]["markers"] == 4
 
 
@@ -130,7 +126,8 @@ def test_same_as_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    for t in ("documents", "labels", "clicks"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
     got, want = QUERIES[name](spark, "/root/testdata/sf0.001").toPandas(), con.execute(PYTHON_SQL[name]).df()
     rows = lambda f: sorted(f[sorted(f.columns)].astype(str).itertuples(index=False, name=None))
     assert rows(got) == rows(want)
