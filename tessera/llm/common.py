@@ -105,18 +105,23 @@ def tidy(spark: SparkSession) -> None:
 FILTER_BITS = 1 << 25
 
 
-def among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``column`` may be in ``keys`` (one column of longs): all that are, and few others while keys are few.
+def marked(df: DataFrame, column: str, keys: DataFrame, name: str) -> DataFrame:
+    """``df`` with boolean ``name``: whether ``column`` may be in ``keys`` (one column of longs). It is false of none that is.
 
-    A bitmap of hashed keys is broadcast, in at most FILTER_BITS / 32768 rows of 4 KB, so that only what it lets through
-    goes on to a join. With more keys than bits it lets most rows through; the join then decides as without it.
+    A bitmap of hashed keys is broadcast, in at most FILTER_BITS / 32768 rows of 4 KB. While keys are few it is true of few
+    others; with more keys than bits it is true of most.
     """
     spot = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS))
     bits = keys.toDF(column).select(spot.alias("spot")).groupBy(F.bitmap_bucket_number("spot").alias("bucket__")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("spot")).alias("bits__"))
     at = F.bitmap_bit_position(spot)
     byte = F.conv(F.hex(F.substring("bits__", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    met = df.withColumn("bucket__", F.bitmap_bucket_number(spot)).join(F.broadcast(saved(bits)), "bucket__")
-    return met.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(df.columns)
+    met = df.withColumn("bucket__", F.bitmap_bucket_number(spot)).join(F.broadcast(saved(bits)), "bucket__", "left")
+    return met.select(*df.columns, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False)).alias(name))
+
+
+def among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be in ``keys``: all that are, and few others while keys are few; a join decides what is left."""
+    return marked(df, column, keys, "may__").where("may__").select(df.columns)
 
 
 def shuffle_parts(df: DataFrame) -> int:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, mix64, saved, settled, shuffle_parts
+from .common import map_batches, marked, mix64, saved, settled, shuffle_parts
 
 KMER = 24
 #: Bytes hashed at once, of one text or several.
@@ -447,7 +447,10 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """
     base = saved_order = ordered(df.drop("kept", "n_bytes", "n_removed", "n_spans"), id_col, text_col)
     spans = settled(lambda: repeated_spans(saved_order.select(F.col("__ord").alias("ord"), F.col(f"`{text_col}`").alias("text")), length))
-    joined = base.join(spans.withColumnRenamed("ord", "__ord"), "__ord", "left").drop("__ord")
+    spans = spans.withColumnRenamed("ord", "__ord")
+    told = marked(base, "__ord", spans.select("__ord"), "__may")  # texts without a span go by without a join
+    bare = told.where("not __may").drop("__may", "__ord").withColumn("blobs", F.lit(None).cast("array<binary>"))
+    joined = told.where("__may").drop("__may").join(spans, "__ord", "left").drop("__ord").union(bare)
     names = [c for c in joined.columns if c != "blobs"]
     schema = joined.drop("blobs").schema.add("kept", "binary").add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long")
 
