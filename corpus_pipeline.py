@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import minhash, mixing, packing, suffix_dedup, toxicity
-from tessera.llm.common import WORD, deleted, noted, numbered, prepare, settled
+from tessera.llm.common import WORD, among, deleted, noted, numbered, prepare, settled
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,7 +25,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _taken(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows as often as ``wanted`` (key, m: rows of the key, copies: of all of them, above 0) says; only repeated rows are numbered."""
     once = keyed.join(wanted.where("m = 1").select("key", "copies"), "key")
-    again = numbered(keyed.join(wanted.where("m > 1"), "key"), ["key"], "i")
+    repeated = wanted.where("m > 1")
+    # a bitmap of the keys lets few other rows through, so that texts aren't shuffled a second time
+    again = numbered(among(keyed, "key", repeated.select("key")).join(repeated, "key"), ["key"], "i")
     share = F.floor(F.col("copies") / F.col("m")) + (F.col("i") < F.col("copies") % F.col("m")).cast("long")
     both = once.select(*COLUMNS, "copies").union(again.select(*COLUMNS, share.alias("copies"))).where("copies > 0")
     return both.select(*COLUMNS, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select(COLUMNS)
