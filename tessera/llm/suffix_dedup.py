@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, marked, mix64, saved, settled, shuffle_parts
+from .common import among, map_batches, marked, mix64, saved, settled, shuffle_parts
 
 KMER = 24
 #: Bytes hashed at once, of one text or several.
@@ -408,7 +408,8 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     found = saved(_reduce(_find(docs, length, 4 * parts), length))
     wanted = found.where("kind = 1").groupBy(F.col("doc").alias("ord")).agg(F.collect_list("blob").alias("blobs"))
     size = found.agg(F.sum("size")).first()[0] or 0
-    segments = _fetch(docs.join(wanted, "ord"), length, max(parts, -(-size // MERGE_BYTES)))
+    few = among(docs, "ord", wanted.select("ord"))  # a bitmap, so that other texts aren't shuffled
+    segments = _fetch(few.join(wanted, "ord"), length, max(parts, -(-size // MERGE_BYTES)))
     late = _merge(segments, length)
     covered = found.where("kind = 0").select("doc", "blob").union(late)
     return covered.groupBy(F.col("doc").alias("ord")).agg(F.collect_list("blob").alias("blobs"))
