@@ -15,20 +15,15 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 
-#: Rows and bytes of one Arrow batch: texts run to megabytes, so rows alone don't bound it.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
-
 #: ASCII white space, which separates words.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound Arrow batches, send the package to the executors, and name a checkpoint folder where none is named.
+    """Bound Arrow batches, send the package to the executors (``ship``), and name a checkpoint folder where none is named.
 
     That is in the warehouse, which all machines share, or a temporary folder where driver and executors are one process.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     ship(spark)
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
