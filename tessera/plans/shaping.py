@@ -8,14 +8,12 @@ PERMISSIVE = ["mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "unlic
 #: What a licence line says, and the licence's name.
 NAMES = {r"apache license,? version 2": "apache-2.0", r"mit license": "mit", r"bsd 2-clause": "bsd-2-clause", r"bsd 3-clause": "bsd-3-clause", r"isc license": "isc", r"general public license": "gpl", r"cc by-nc": "cc-by-nc", r"cc0": "cc0-1.0", r"unlicense": "unlicense"}
 
-LINE = r"([^\n]*licen[cs]e[^\n]*)"
-
 
 def licensed_documents(e) -> str:
     """Every document's licence, by its first line that names one, and whether it is taken: a permissive licence, 200 characters or more, and not said to be generated."""
-    line = f"select doc_id, text, {e.extract('lower(text)', LINE)} as line from {{documents}}"
+    line = f"select doc_id, text, {e.once(e.first_line('lower(text)', 'licen[cs]e'))} as line from {{documents}}"
     ladder = " ".join(f"when {e.like('line', k)} then '{v}'" for k, v in NAMES.items())
-    named = f"select doc_id, text, case {ladder} when line <> '' then 'other' end as licence from ({line}) l"
+    named = f"select doc_id, text, {e.once(f"case {ladder} when line <> '' then 'other' end")} as licence from ({line}) l"
     free = ", ".join(f"'{x}'" for x in PERMISSIVE)
     verdict = f"case when licence is null then 'no licence' when licence not in ({free}) then 'not permissive' when {e.like('lower(text)', 'auto-?generated|do not edit')} then 'generated' when length(text) < 200 then 'short' else 'taken' end"
     return f"select doc_id, licence, {verdict} as verdict from ({named}) n"

@@ -1,5 +1,6 @@
 """Queries whose work grew faster than their input."""
 
+import time
 
 import numpy as np
 
@@ -29,3 +30,12 @@ def test_nearest_vectors_in_blocks(spark, tmp_path, monkeypatch):
         near, equal = got.pop(q)
         assert equal == sum(g < 1e-9 for g in gaps) and abs(near - min(gaps, default=0.0) ** 0.5) < 1e-4  # without a distance SQL's greatest says 0
     assert not got
+
+
+def test_licence_in_long_lines(spark, tmp_path):
+    """A line is read once, not from each of its characters."""
+    folder = documents(spark, tmp_path, ["a" * 200_000, "b" * 200_000 + " MIT License", "x\r y licence\nMIT License", None])
+    start = time.time()
+    got = {r["doc_id"]: (r["licence"], r["verdict"]) for r in QUERIES["licensed_documents"](spark, folder).collect()}
+    assert time.time() - start < 20
+    assert got == {0: (None, "no licence"), 1: ("mit", "taken"), 2: ("other", "not permissive"), 3: (None, "no licence")}
