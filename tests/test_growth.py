@@ -3,9 +3,11 @@
 import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.operators import nearest
 from tessera.plans.registry import QUERIES
+from tessera.sources import files
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -39,3 +41,14 @@ def test_licence_in_long_lines(spark, tmp_path):
     got = {r["doc_id"]: (r["licence"], r["verdict"]) for r in QUERIES["licensed_documents"](spark, folder).collect()}
     assert time.time() - start < 20
     assert got == {0: (None, "no licence"), 1: ("mit", "taken"), 2: ("other", "not permissive"), 3: (None, "no licence")}
+
+
+def test_numbers_of_long_texts(spark, tmp_path):
+    """All digits of a text aren't made again for each number; an odd byte at the end is no number."""
+    folder = documents(spark, tmp_path, ["word " * 60_000, "", None])
+    start = time.time()
+    got = {r["doc_id"]: (r["bytes"], r["total"]) for r in QUERIES["uint16_round_trip"](spark, folder).collect()}
+    assert time.time() - start < 20
+    assert got == {0: (120_000, 240_000), 1: (0, 0), 2: (None, 0)}
+    odd = spark.createDataFrame([(bytearray([1, 2, 255, 255, 7]),), (None,)], "data binary").select(files.from_uint16(F.col("data")).alias("n"))
+    assert [r["n"] for r in odd.collect()] == [[513, 65535], []]
