@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import nearest
+from tessera.plans import languages
+from tessera.plans.cleaning import _scripts
+from tessera.plans.dialect import Spark
 from tessera.plans.registry import QUERIES
 from tessera.sources import files
 
@@ -52,3 +55,18 @@ def test_numbers_of_long_texts(spark, tmp_path):
     assert got == {0: (120_000, 240_000), 1: (0, 0), 2: (None, 0)}
     odd = spark.createDataFrame([(bytearray([1, 2, 255, 255, 7]),), (None,)], "data binary").select(files.from_uint16(F.col("data")).alias("n"))
     assert [r["n"] for r in odd.collect()] == [[513, 65535], []]
+
+
+def test_letters_are_counted_without_lists(spark, tmp_path):
+    texts = ["plain words", "कहानी abc", "سلام ݐ é 😀", "", None, "০ক ௐ x"]
+    rows = spark.sql(_scripts(Spark()).replace("{documents}", "{docs}"), docs=spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en")))
+    assert "regexp_count" not in _scripts(Spark())
+    got = {r["doc_id"]: (r["Devanagari"], r["Bengali"], r["Tamil"], r["Arabic"], r["Latin"]) for r in rows.collect()}
+    assert got == {0: (0, 0, 0, 0, 10), 1: (5, 0, 0, 0, 3), 2: (0, 0, 0, 5, 0), 3: (0,) * 5, 4: (None,) * 5, 5: (0, 2, 1, 0, 1)}
+
+
+def test_cues_are_not_put_together_of_two_runs(spark, tmp_path):
+    """Two Marathi words make a text Marathi; their halves apart don't, nor do other scripts between them."""
+    folder = documents(spark, tmp_path, ["मला नाही", "म x ला ना, ही", "मला x नाही"])
+    assert "contains(text" not in languages.language_detect(Spark())
+    assert {r["doc_id"]: r["lang"] for r in QUERIES["language_detect"](spark, folder).collect()} == {0: "mr", 1: "hi", 2: "mr"}
