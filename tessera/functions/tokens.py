@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
@@ -21,11 +22,12 @@ def _processor(path: str):
 def encode(text: Column, path: str = VOCABULARY) -> Column:
     """Token ids of whole texts; null stays null, and an empty text has none. The file must be at ``path`` on every machine."""
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _processor(path)
         for b in batches:
-            yield b.map(lambda x: model.encode(x) if isinstance(x, str) else None)
+            ids = [np.array(model.encode(x.as_py()), np.int32) if x.is_valid else None for x in b]  # one text's tokens are Python's numbers at a time
+            yield pa.array(ids, pa.list_(pa.int32()))
 
     return run(text)
 
@@ -33,11 +35,11 @@ def encode(text: Column, path: str = VOCABULARY) -> Column:
 def decode(ids: Column, path: str = VOCABULARY) -> Column:
     """The text of token ids; bytes that stand for one character are put together again."""
 
-    @F.pandas_udf(StringType())
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(StringType())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = _processor(path)
         for b in batches:
-            yield b.map(lambda x: model.decode([int(i) for i in x]) if x is not None else None)
+            yield pa.array([model.decode(x.as_py()) if x.is_valid else None for x in b], pa.string())
 
     return run(ids)
 

@@ -70,3 +70,12 @@ def test_cues_are_not_put_together_of_two_runs(spark, tmp_path):
     folder = documents(spark, tmp_path, ["मला नाही", "म x ला ना, ही", "मला x नाही"])
     assert "contains(text" not in languages.language_detect(Spark())
     assert {r["doc_id"]: r["lang"] for r in QUERIES["language_detect"](spark, folder).collect()} == {0: "mr", 1: "hi", 2: "mr"}
+
+
+def test_token_batches_are_bounded(spark):
+    """Queries of tokens bound what Python's side holds at once, in rows and bytes."""
+    for name in ("bpe_round_trip", "bpe_fertility"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 16 << 20
