@@ -79,3 +79,9 @@ def test_token_batches_are_bounded(spark):
         QUERIES[name](spark, "/root/testdata/sf0.001")
         assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
         assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 16 << 20
+
+
+def test_profiles_are_dealt_once(spark):
+    """Words of a text aren't dealt by (document, word): heads of texts are, by document."""
+    plan = QUERIES["token_profile"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(") == 1 and "hashpartitioning(doc_id" in plan
