@@ -29,11 +29,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _words(docs: DataFrame) -> DataFrame:
-    each = docs.select("lang", F.explode(F.expr(Spark().words("text"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     times = F.lit(1)
     for lang, k in REPEATED.items():
         times = F.when(F.col("lang") == lang, k).otherwise(times)
-    return each.groupBy("word").agg(F.sum(F.col("n") * times).cast("long").alias("n"))
+    each = docs.select(times.alias("n"), F.explode(F.expr(Spark().words("text"))).alias("word"))
+    return each.groupBy("word").agg(F.sum("n").cast("long").alias("n"))
 
 
 def _merges(spark: SparkSession, sf_dir: str, kind: str, least: int) -> DataFrame:

@@ -1,6 +1,7 @@
 """Merges against the plain loop that takes one pair after another."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -51,3 +52,16 @@ def test_ties_runs_and_rare_pairs(spark):
     assert learn_merges(df, 25) == loop(words, 25, "chars")
     assert learn_merges(df, 500, least=30) == loop(words, 500, "chars", 30)
     assert learn_merges(df.where("false"), 5) == []
+
+
+def test_a_merge_is_one_pass_over_numbers(spark):
+    """A large vocabulary isn't split into a row for each pair of neighbours, and no word is merged symbol by symbol."""
+    rng = random.Random(7)
+    words = [("".join(rng.choices("abcdefghijklmnop", k=12)), 1 + i % 3) for i in range(150_000)]
+    df = spark.createDataFrame(words, "word string, n long").repartition(8).cache()
+    learn_merges(df, 1)
+    start = time.time()
+    got = learn_merges(df, 16)
+    assert time.time() - start < 20
+    assert got[:2] == loop(words, 2, "chars")
+    assert learn_merges(df.limit(300), 40) == loop([(r["word"], r["n"]) for r in df.limit(300).collect()], 40, "chars")  # more than are held back
