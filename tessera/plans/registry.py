@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.functions import minhash
+
 from . import cleaning, collisions, languages, ledgers, relational, rollups, scheduling, shaping, shards, slots, snapshots, study, unicode_queries, windows
 from .dialect import Duck, Spark
 from .packing_queries import PACKING_QUERIES, PACKING_SQL
@@ -23,9 +25,12 @@ TABLE = re.compile(r"\{(region|nation|customer|supplier|part|orders|lineitem|eve
 def spark_query(text: Callable[[Spark], str]) -> Callable[[SparkSession, str], DataFrame]:
     sql = text(Spark())
     names = sorted(set(TABLE.findall(sql)))
+    hashed = "least_hashes(" in sql
     sql = "".join(f"{{{x}}}" if i % 2 else x.replace("{", "{{").replace("}", "}}") for i, x in enumerate(TABLE.split(sql)))
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if hashed:
+            minhash.register(spark)
         return spark.sql(sql, **{n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names})
 
     return run
