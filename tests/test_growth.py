@@ -85,3 +85,10 @@ def test_profiles_are_dealt_once(spark):
     """Words of a text aren't dealt by (document, word): heads of texts are, by document."""
     plan = QUERIES["token_profile"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(") == 1 and "hashpartitioning(doc_id" in plan
+
+
+def test_slots_cut_texts_once(spark):
+    """Bands and decisions of all documents are written once, not worked out anew wherever slots read them; what is left are the lanes with words."""
+    for name in ("slot_gates", "filled_slots", "batch_accounts"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(text") <= 2
