@@ -3,10 +3,11 @@
 import math
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 
 from tessera.plans import snapshots
-from tessera.plans.registry import QUERIES
+from tessera.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 
@@ -47,3 +48,20 @@ def test_decisions_of_every_generation(spark):
     assert len({tuple(v for (g, _), v in sorted(got.items()) if g == k) for k in range(3)}) == 3  # a rotation changes decisions
     for r in QUERIES["snapshot_thresholds"](spark, SF).collect():
         assert abs(r["accept_at"] - cuts[r["generation"]][0]) < 2e-6 and abs(r["reject_at"] - cuts[r["generation"]][1]) < 2e-6
+
+
+def test_a_step_is_written_once_and_repeated_ids_are_one_profile(spark, tmp_path, monkeypatch):
+    from tessera.operators.written import Steps
+
+    rows = [(i, " ".join(f"w{(i * k) % 37}" for k in range(5 + i % 700)), f"src{i % 6}") for i in range(400)]
+    rows += [(None, "w1 w2", "src2"), (7, "w1 w1 w9", "src4"), (500, " \t\n", "src3"), (501, None, "src3"), (502, "  w5", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    made, keep = [], Steps.keep
+    monkeypatch.setattr(Steps, "keep", lambda self, df: made.append(df.columns) or keep(self, df))
+    for name in snapshots.QUERIES:
+        made.clear()
+        got = sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()), key=repr)
+        assert [c for columns in made for c in columns].count("accept_at") == 1 and not any("text" in columns for columns in made)
+        with duckdb.connect() as db:
+            db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+            assert got == sorted(db.execute(SQL[name]).fetchall(), key=repr)
