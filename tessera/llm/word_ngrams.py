@@ -1,8 +1,10 @@
 """Interpolated modified Kneser-Ney over real words: trigram tables that stay sharded, joined with the trigrams of each document.
 
-Words are 64-bit hashes. One table holds every distinct trigram of the documents with its count in the learning texts, which
-is 0 where only other texts have it; continuation counts, discounts and back-off weights follow from it by grouping, and each
-trigram's log probability by joining. No table is broadcast by hand or brought to the driver, and all grow with the corpus.
+Words are 64-bit hashes. Only trigrams of learning texts are counted; continuation counts, discounts and back-off weights
+follow by grouping. Trigrams are worked off in slices by their middle word, which all that a trigram's probability is made of
+share, but for how many words its last word follows: that and the discounts are found before. A slice's tables are deleted
+before the next one's are written, so that disk holds one slice at a time, and texts are cut into words once more for each.
+No table is broadcast by hand or brought to the driver, and all grow with the corpus.
 """
 
 from __future__ import annotations
@@ -14,15 +16,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, mix64, saved, whole, words
+from .common import dropped, map_batches, mix64, saved, settled, whole, words
 from .minhash import word_hashes
 
 #: Stands before a text and closes it.
 EDGE = 0
 
+#: Slices of large inputs, and bytes of text for each of a smaller one's.
+SLICES, SLICE_BYTES = 4, 20_000_000
 
-def _trigrams(texts: pa.Array) -> tuple[np.ndarray, ...]:
-    """(text, a, b, c, n): the distinct word trigrams of each text, closed by EDGE and with EDGE before it, and their counts."""
+
+def _trigrams(texts: pa.Array, part: int, parts: int) -> tuple[np.ndarray, ...]:
+    """(text, a, b, c, n): the distinct word trigrams of each text, closed by EDGE and with EDGE before it, and their counts; of ``parts`` slices by b the one of number ``part``."""
     distinct, index, offsets = words(texts)
     flat = word_hashes(distinct)[index] if len(index) else np.zeros(0, np.uint64)
     c = np.insert(flat, offsets[1:], np.uint64(EDGE))
@@ -34,17 +39,20 @@ def _trigrams(texts: pa.Array) -> tuple[np.ndarray, ...]:
     b[starts] = a[starts] = EDGE
     second = starts[sizes > 1] + 1
     a[second] = EDGE
+    if parts > 1:
+        mine = np.flatnonzero(b % np.uint64(parts) == part)
+        text, a, b, c = text[mine], a[mine], b[mine], c[mine]
     key = mix64(mix64(mix64(mix64(a) ^ b) ^ c) ^ text.astype(np.uint64))
     _, first, n = np.unique(key, return_index=True, return_counts=True)
     return text[first], a[first].view(np.int64), b[first].view(np.int64), c[first].view(np.int64), n
 
 
-def document_trigrams(docs: DataFrame) -> DataFrame:
-    """(row long, learn boolean, text) to (row, a, b, c, n, seen): a text's distinct trigrams, ``seen`` being n in learning texts and 0 in others."""
+def document_trigrams(docs: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+    """(row long, learn boolean, text) to (row, a, b, c, n, seen): a text's distinct trigrams, ``seen`` being n in learning texts and 0 in others; one slice of them where ``parts`` is above 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, a, b, c, n = _trigrams(whole(batch.column("text")))
+            text, a, b, c, n = _trigrams(whole(batch.column("text")), part, parts)
             learn = pa.compute.fill_null(batch.column("learn"), False).to_numpy(zero_copy_only=False)
             row = batch.column("row").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (row[text], a, b, c, n, np.where(learn[text], n, 0))], names=["row", "a", "b", "c", "n", "seen"])
@@ -52,54 +60,90 @@ def document_trigrams(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("row", "learn", "text"), run, "row long, a long, b long, c long, n long, seen long")
 
 
-def _cut(counts: DataFrame, n: str) -> Column:
-    """Chen and Goodman's D1, D2, D3+ of column ``n``, from the numbers of grams seen once to four times."""
-    row = counts.agg(*[F.count(F.when(F.col(n) == i, 1)) for i in (1, 2, 3, 4)]).first()
-    n1, n2, n3, n4 = (max(float(x), 1.0) for x in row)
+def _tally(counts: DataFrame) -> np.ndarray:
+    """How many grams were seen once to four times."""
+    return np.array(counts.agg(*[F.count(F.when(F.col("seen") == i, 1)) for i in (1, 2, 3, 4)]).first(), float)
+
+
+def _cut(tally: np.ndarray) -> Column:
+    """Chen and Goodman's D1, D2, D3+ for column seen."""
+    n1, n2, n3, n4 = np.maximum(tally, 1.0).tolist()
     y = n1 / (n1 + 2 * n2)
     d1, d2, d3 = (min(max(d, 0.05), i - 0.05) for i, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
-    return F.when(F.col(n) == 0, 0.0).when(F.col(n) == 1, d1).when(F.col(n) == 2, d2).otherwise(d3)
-
-
-def _histories(counts: DataFrame, history: str, n: str, cut: Column) -> DataFrame:
-    """(h, all, gamma) of every history with a seen gram."""
-    sums = counts.where(F.col(n) > 0).groupBy(F.col(history).alias("h")).agg(F.sum(n).alias("all"), F.sum(cut).alias("off"))
-    return sums.select("h", "all", (F.col("off") / F.col("all")).alias("gamma"))
-
-
-def _interpolated(n: str, cut: Column, lower: str) -> Column:
-    """Of a gram left-joined with its history: an unseen history leaves all to the lower order."""
-    return F.coalesce((F.col(n) - cut) / F.col("all"), F.lit(0.0)) + F.coalesce(F.col("gamma"), F.lit(1.0)) * F.col(lower)
-
-
-def probabilities(grams: DataFrame) -> DataFrame:
-    """(a, b, c, seen) of documents to (gram, p): every distinct trigram's interpolated probability, however often it was seen."""
-    three = grams.groupBy("a", "b", "c").agg(F.sum("seen").alias("seen"))
-    three = saved(three.select(F.xxhash64("a", "b", "c").alias("gram"), F.xxhash64("a", "b").alias("h"), F.xxhash64("b", "c").alias("s"), "b", "c", "seen"))
-    seen = F.count(F.when(F.col("seen") > 0, 1)).alias("seen")
-    two = saved(three.groupBy("s").agg(F.first("b").alias("b"), F.first("c").alias("c"), seen))
-    one = saved(two.groupBy("c").agg(seen))
-    cut1, cut2, cut3 = (_cut(x, "seen") for x in (one, two, three))
-    total = one.agg(F.sum("seen").alias("all"), F.sum(cut1).alias("off"), F.count(F.when(F.col("seen") > 0, 1)).alias("types")).first()
-    types, every = total["types"] or 0, total["all"] or 0
-    uniform = 1.0 / (types + 1)  # all seen words and one for any other
-    p1 = (F.col("seen") - cut1) / F.lit(float(every)) + F.lit(total["off"] / every * uniform) if every else F.lit(uniform)
-    ones = saved(one.select(F.col("c").alias("c1"), p1.alias("p1")))
-    backs = saved(_histories(two, "b", "seen", cut2))
-    twos = two.join(ones, F.col("c") == F.col("c1")).join(backs, F.col("b") == F.col("h"), "left")
-    twos = saved(twos.select(F.col("s").alias("s2"), _interpolated("seen", cut2, "p1").alias("p2")))
-    backs = saved(_histories(three, "h", "seen", cut3).withColumnRenamed("h", "h3"))
-    threes = three.join(twos, F.col("s") == F.col("s2")).join(backs, F.col("h") == F.col("h3"), "left")
-    return threes.select("gram", _interpolated("seen", cut3, "p2").alias("p"))
-
-
-def perplexities(docs: DataFrame) -> DataFrame:
+    return F.when(F.col("seen") == 1, d1).when(F.col("seen") == 2, d2).otherwise(d3)
+
+
+def _histories(counts: DataFrame, history: list[str], cut: Column) -> DataFrame:
+    """(history, all, gamma) of every seen history."""
+    sums = counts.groupBy(*history).agg(F.sum("seen").alias("all"), F.sum(cut).alias("off"))
+    return sums.select(*history, "all", (F.col("off") / F.col("all")).alias("gamma"))
+
+
+def _counted(grams: DataFrame) -> DataFrame:
+    """(a, b, c, seen): trigrams of learning texts."""
+    return grams.where("seen > 0").groupBy("a", "b", "c").agg(F.sum("seen").alias("seen"))
+
+
+def _followed(three: DataFrame) -> DataFrame:
+    """(b, c, seen): after how many words a pair was seen."""
+    return three.groupBy("b", "c").agg(F.count(F.lit(1)).alias("seen"))
+
+
+def _lowest(docs: DataFrame, parts: int) -> tuple[DataFrame, float, Column, Column]:
+    """(c, p1) of seen words, p1 of any other, and what is cut off the counts of pairs and of trigrams."""
+    pairs, triples, firsts = np.zeros(4), np.zeros(4), []
+    for part in range(parts):
+        three = saved(_counted(document_trigrams(docs.where("learn"), part, parts)))
+        two = saved(_followed(three))
+        triples += _tally(three)
+        pairs += _tally(two)
+        firsts.append(saved(two.groupBy("c").agg(F.count(F.lit(1)).alias("seen"))))
+        dropped(three, two)
+    every = firsts[0]
+    for more in firsts[1:]:
+        every = every.union(more)
+    one = saved(every.groupBy("c").agg(F.sum("seen").alias("seen")))
+    cut = _cut(_tally(one))
+    total = one.agg(F.sum("seen").alias("all"), F.sum(cut).alias("off"), F.count(F.lit(1)).alias("types")).first()
+    uniform = 1.0 / (total["types"] + 1)  # all seen words and one for any other
+    other = total["off"] / total["all"] * uniform if total["all"] else uniform
+    ones = saved(one.select("c", ((F.col("seen") - cut) / F.lit(float(total["all"] or 1)) + F.lit(other)).alias("p1")))
+    dropped(one, *firsts)
+    return ones, other, _cut(pairs), _cut(triples)
+
+
+def _slice(docs: DataFrame, part: int, parts: int, ones: DataFrame, other: float, cut2: Column, cut3: Column) -> DataFrame:
+    """(row, log, n): what a slice's trigrams add to the log probability of each text, and their number."""
+    three = saved(_counted(document_trigrams(docs.where("learn"), part, parts)))
+    two = saved(_followed(three))
+    back2 = saved(_histories(two, ["b"], cut2))
+    back3 = saved(_histories(three, ["a", "b"], cut3))
+    discounted = lambda cut, lower: ((F.col("seen") - cut) / F.col("all") + F.col("gamma") * F.col(lower))
+    twos = saved(two.join(ones, "c").join(back2, "b").select("b", "c", discounted(cut2, "p1").alias("p2")))
+    dropped(two)
+    threes = saved(three.join(back3, ["a", "b"]).join(twos, ["b", "c"]).select("a", "b", "c", discounted(cut3, "p2").alias("p")))
+    dropped(three)
+    unseen = F.col("p").isNull()
+    met = saved(document_trigrams(docs, part, parts).drop("seen").join(threes, ["a", "b", "c"], "left").select("row", "n", "p", *[F.when(unseen, F.col(x)).alias(x) for x in "abc"]))
+    dropped(threes)
+    left = met.where(unseen).drop("p").join(back3.select("a", "b", F.col("gamma").alias("gamma3")), ["a", "b"], "left").drop("a")
+    left = left.join(twos, ["b", "c"], "left").join(back2.select("b", F.col("gamma").alias("gamma2")), "b", "left").join(ones, "c", "left")
+    lower = F.coalesce("p2", F.coalesce("gamma2", F.lit(1.0)) * F.coalesce("p1", F.lit(other)))
+    both = met.where(~unseen).select("row", "n", "p").union(left.select("row", "n", F.coalesce("gamma3", F.lit(1.0)) * lower))
+    return both.groupBy("row").agg(F.sum(F.col("n") * F.log("p")).alias("log"), F.sum("n").alias("n"))
+
+
+def perplexities(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """(row, learn, text) to (row, perplexity): over the whole text and its end; null and empty texts have only the end.
 
-    Rows of one number are one text; counts are of texts with ``learn``.
+    Rows of one number are one text; counts are of texts with ``learn``. ``parts`` slices, by the size of the texts if not given.
     """
-    grams = document_trigrams(docs)
-    table = saved(probabilities(grams.select("a", "b", "c", "seen")).select("gram", F.log("p").alias("log")))
-    asked = grams.select("row", F.xxhash64("a", "b", "c").alias("gram"), "n")
-    sums = asked.join(table, "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("log")).alias("log"), F.sum("n").alias("n"))
-    return sums.select("row", F.exp(-F.col("log") / F.col("n")).alias("perplexity"))
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = min(SLICES, 1 + size // SLICE_BYTES)
+    ones, other, cut2, cut3 = _lowest(docs, (parts + 1) // 2)  # learning texts alone, which take less room
+    sums = settled(lambda: _slice(docs, 0, parts, ones, other, cut2, cut3))
+    for part in range(1, parts):
+        sums = sums.union(settled(lambda part=part: _slice(docs, part, parts, ones, other, cut2, cut3)))
+    out = sums.groupBy("row").agg(F.sum("log").alias("log"), F.sum("n").alias("n"))
+    return out.select("row", F.exp(-F.col("log") / F.col("n")).alias("perplexity"))

@@ -1,10 +1,11 @@
 """Kneser-Ney over real words against brute force."""
 
 import math
+import os
 import random
 from collections import Counter, defaultdict
 
-from tessera.llm import kneser_ney, word_ngrams
+from tessera.llm import common, kneser_ney, word_ngrams
 
 ROWS = "row long, learn boolean, text string"
 
@@ -51,6 +52,20 @@ def test_perplexity_equals_brute_force(spark):
         assert math.isclose(got[i], want, rel_tol=1e-9), i
 
 
+def test_slices_add_up_and_leave_no_tables(spark):
+    r = random.Random(9)
+    texts = [" ".join(f"w{min(int(r.expovariate(0.05)), 99)}" for _ in range(r.randint(0, 30))) for _ in range(40)] + [None, "new words"]
+    df = spark.createDataFrame([(i, i % 2 == 0 and i < 40, t) for i, t in enumerate(texts)], ROWS)
+    with common.noted() as made:
+        got = {x.row: x.perplexity for x in word_ngrams.perplexities(df, parts=3).collect()}
+    p = brute(texts[:40:2])
+    for i, t in enumerate(texts):
+        assert math.isclose(got[i], math.exp(-sum(math.log(p(*g)) for g in grams(t)) / len(grams(t))), rel_tol=1e-9), i
+    assert sum(os.path.exists(path.removeprefix("file:")) for path in made) == 4  # words' probabilities and each slice's sums
+    nothing = spark.createDataFrame([(1, False, "a b"), (2, None, None)], ROWS)
+    assert {x.row: round(x.perplexity, 9) for x in word_ngrams.perplexities(nothing, parts=2).collect()} == {1: 1.0, 2: 1.0}
+
+
 def test_shuffled_rare_words_are_told_from_prose(spark):
     r = random.Random(6)
     sentence = [["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(8)] for _ in range(150)]
