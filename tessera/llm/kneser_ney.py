@@ -204,9 +204,9 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = 0.99, held_o
     ids = saved(trusted.select("doc_id").distinct())
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % held_out == 0
     row = F.xxhash64("doc_id", "text").alias("row")
-    learning = ids.where(~held).withColumn("learn", F.lit(True))
-    texts = docs.select("doc_id", "text", row).join(learning, "doc_id", "left").select("row", "learn", "text")
-    scored = saved(docs.select("doc_id", "lang", row).join(word_ngrams.perplexities(texts), "row").select("doc_id", "lang", "perplexity"))
+    learning = docs.select("doc_id", row).join(ids.where(~held), "doc_id", "left_semi").select("row")
+    perplexities = word_ngrams.perplexities(docs.select(row, "text"), learning=learning)
+    scored = saved(docs.select("doc_id", "lang", row).join(perplexities, "row").select("doc_id", "lang", "perplexity"))
     sample = scored.join(ids.where(held), "doc_id", "left_semi")
     at = lambda d: d.agg(F.percentile_approx("perplexity", quantile, 10000).alias("t"))
     by_lang = at(sample.groupBy(F.col("lang").alias("l")))

@@ -66,6 +66,40 @@ def test_slices_add_up_and_leave_no_tables(spark):
     assert {x.row: round(x.perplexity, 9) for x in word_ngrams.perplexities(nothing, parts=2).collect()} == {1: 1.0, 2: 1.0}
 
 
+def test_tables_never_take_more_room_than_the_texts(spark, monkeypatch):
+    r = random.Random(3)
+    texts = [" ".join(f"word{min(int(r.expovariate(0.001)), 9999)}" for _ in range(300)) for _ in range(1500)]
+    df = spark.createDataFrame([(i, i % 4 == 0, t) for i, t in enumerate(texts)], ROWS).coalesce(1)
+    taken, plain = [], word_ngrams.saved
+
+    def saved(table):
+        out = plain(table)
+        folder = os.path.dirname(out._table.removeprefix("file:"))
+        held = {path: sum(e.stat().st_size for e in os.scandir(f"{folder}/{path}")) for path in os.listdir(folder)}
+        taken.append(sum(held[path] for path in held if path not in before))
+        return out
+
+    common.prepare(spark)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables".removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.exists(folder) else set()
+    monkeypatch.setattr(word_ngrams, "saved", saved)
+    assert word_ngrams.perplexities(df, parts=4).count() == len(texts)
+    assert max(taken) < sum(map(len, texts))
+
+
+def test_texts_are_not_shuffled(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(i, f"word{i % 7} " * 20, "en") for i in range(50)], "doc_id long, text string, lang string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    seen = []
+    plain, word_ngrams.buffers = word_ngrams.buffers, lambda texts: seen.append(texts._jdf.queryExecution().executedPlan().toString()) or plain(texts)
+    try:
+        assert kneser_ney.classify(docs, docs.where("doc_id < 30").select("doc_id")).count() == 50
+    finally:
+        word_ngrams.buffers = plain
+    assert seen and "Exchange" not in seen[0] and "Join" not in seen[0]
+
+
 def test_shuffled_rare_words_are_told_from_prose(spark):
     r = random.Random(6)
     sentence = [["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(8)] for _ in range(150)]
