@@ -1,7 +1,7 @@
 """All registered queries and the SQL that says the same.
 
 A query is one function from a dialect to SQL over {table} names. Spark runs it with the Parquet tables put in; DuckDB gets
-its own spelling of it over the same names. A few are written for Spark step by step instead (``snapshots.STEPWISE``).
+its own spelling of it over the same names. A few are written for Spark step by step instead (``snapshots.STEPWISE``, ``slots.STEPWISE``).
 """
 
 from __future__ import annotations
@@ -50,5 +50,5 @@ def spark_query(text: Callable[[Spark], str]) -> Callable[[SparkSession, str], D
 
 
 TEXTS = {name: f for module in (cleaning, shards, collisions, study, ledgers, relational, rollups, windows, languages, scheduling, slots, unicode_queries, shaping, snapshots) for name, f in module.QUERIES.items()}
-QUERIES = {name: spark_query(f) for name, f in TEXTS.items()} | PYTHON_QUERIES | PACKING_QUERIES | unicode_queries.ARTICLES | TOKEN_QUERIES | snapshots.STEPWISE
+QUERIES = {name: spark_query(f) for name, f in TEXTS.items()} | PYTHON_QUERIES | PACKING_QUERIES | unicode_queries.ARTICLES | TOKEN_QUERIES | snapshots.STEPWISE | slots.STEPWISE
 SQL = {name: TABLE.sub(r"\1", f(Duck())) for name, f in TEXTS.items()} | PYTHON_SQL | PACKING_SQL | unicode_queries.ARTICLES_SQL | TOKEN_SQL
