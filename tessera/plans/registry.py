@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.functions import minhash
-from tessera.operators.written import Steps
 
 from . import cleaning, collisions, languages, ledgers, relational, rollups, scheduling, shaping, shards, slots, snapshots, study, unicode_queries, windows
 from .dialect import Duck, Spark
@@ -23,28 +22,17 @@ from .token_queries import TOKEN_QUERIES, TOKEN_SQL
 TABLE = re.compile(r"\{(region|nation|customer|supplier|part|orders|lineitem|events|documents|embeddings|pages|benchmark|labels|conversations)\}")
 
 
-KEPT = re.compile(r"/\*kept\*/(.*?)/\*end\*/", re.S)
-
-
 def spark_query(text: Callable[[Spark], str]) -> Callable[[SparkSession, str], DataFrame]:
     sql = text(Spark())
-    kept = {x: f"kept{i}" for i, x in enumerate(dict.fromkeys(KEPT.findall(sql)))}
     names = sorted(set(TABLE.findall(sql)))
     hashed = "least_hashes(" in sql
-
-    def filled(sql: str) -> str:
-        return "".join(f"{{{x}}}" if i % 2 else x.replace("{", "{{").replace("}", "}}") for i, x in enumerate(re.split(TABLE.pattern.replace("region|", "kept\\d+|region|"), sql)))
-
-    whole = filled(KEPT.sub(lambda m: f"select * from {{{kept[m[1]]}}}", sql))
+    filled = "".join(f"{{{x}}}" if i % 2 else x.replace("{", "{{").replace("}", "}}") for i, x in enumerate(re.split(TABLE.pattern, sql)))
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if hashed:
             minhash.register(spark)
         tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
-        if kept:
-            steps = Steps(spark, "kept")
-            tables |= {name: steps.keep(spark.sql(filled(x), **tables)) for x, name in kept.items()}
-        return spark.sql(whole, **tables)
+        return spark.sql(filled, **tables)
 
     return run
 

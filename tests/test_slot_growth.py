@@ -8,7 +8,7 @@ import pytest
 from tessera.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["batch_accounts", "filled_slots"]
+NAMES = ["batch_accounts", "filled_slots", "slot_gates"]
 
 
 def below_broadcasts(plan):
