@@ -5,10 +5,15 @@ import random
 import duckdb
 import pytest
 
+from tessera.plans import slots
+from tessera.plans.dialect import Spark
 from tessera.plans.registry import QUERIES, SQL
 
+from test_slots import fill
+
 SF = "/root/testdata/sf0.001"
 NAMES = ["batch_accounts", "filled_slots", "slot_gates"]
+COUNTS = ("slots", "refused", "held_back", "out_of_band", "relaxed", "empty_slots")
 
 
 def below_broadcasts(plan):
@@ -54,3 +59,27 @@ def test_no_documents(spark, tmp_path, name):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(0, "a")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert QUERIES[name](spark, str(tmp_path)).collect() == []
+
+
+def test_gates_read_whole_texts(spark, tmp_path):
+    """Words that make a document accepted may stand behind its first 512: fewer draws then count, and fewer are refused or out of band."""
+    texts = [("x " * 520 + "gold " * 3000) if i % 4 == 0 else ("gold x " * (40 + i)) for i in range(160)]
+    spark.createDataFrame([(i, t, "en", f"src{5 + i % 2}", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "gold")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    tables = {t: spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "benchmark")}
+    steps, want, heads = 6, {}, {}
+    for gates, first in ((want, None), (heads, slots.HEAD)):
+        lanes = {}
+        for d in sorted(spark.sql(slots._catalogue(Spark(), first), **tables).collect(), key=lambda d: d["place"]):
+            lanes.setdefault(d["lane"], []).append(d)
+        order = sorted(lanes)
+        for step in range(steps):
+            stage = "warm" if step < 0.2 * steps else "main" if step < 0.8 * steps else "anneal"
+            for slot in range(slots.SLOTS):
+                lane = order[(step + slot) % len(order)]
+                chosen, relaxed, counts = fill(lanes[lane], step, slot, stage)
+                g = gates.setdefault((stage, lane), dict.fromkeys(COUNTS, 0))
+                for k, v in {**counts, "slots": 1, "relaxed": int(relaxed), "empty_slots": int(not chosen)}.items():
+                    g[k] += v
+    assert want != heads
+    assert {(r["stage"], r["lane"]): {k: r[k] for k in COUNTS} for r in QUERIES["slot_gates"](spark, str(tmp_path)).collect()} == want
